@@ -16,7 +16,6 @@ untouched, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
 from .store import ship
+from .suffix_array import sort_suffixes
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -41,23 +41,8 @@ class Suffixes:
         self.seq = np.zeros(len(ids) + docs, np.int64)
         self.seq[at] = ids + 1
         self.doc_start = word_off[:-1] + np.arange(docs)
-        self.depth, rank, top = 1, self.seq, len(self.vocabulary) + 1
-        order = None
-        while order is None or self.depth < depth:
-            bits = max(int(top).bit_length(), 1)
-            per = max(63 // bits, 2) if order is None else min(max(63 // bits, 2), -(-depth // self.depth))
-            key = np.zeros(len(rank), np.uint64)
-            for k in range(per):
-                shifted = np.zeros(len(rank), np.uint64)
-                if k * self.depth < len(rank):
-                    shifted[: len(rank) - k * self.depth] = rank[k * self.depth :]
-                key |= shifted << np.uint64(bits * (per - 1 - k))
-            order = np.argsort(key)
-            ranked = np.cumsum(np.concatenate([np.ones(min(1, len(key)), np.int64), np.diff(key[order]).astype(bool)]))
-            rank = np.empty(len(key), np.int64)
-            rank[order] = ranked
-            self.depth, top = self.depth * per, int(ranked[-1]) + 1 if len(ranked) else 1
-        self.order = order
+        self.order, levels = sort_suffixes(self.seq, len(self.vocabulary) + 1, depth)
+        self.depth = levels[-1][0]
 
     def search(self, suffixes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
         """suffixes: (n, width) word hashes. (low, high, matched words) of the longest match, and {length: (low, high)} on the way."""
@@ -226,6 +211,3 @@ def digests(found: DataFrame) -> DataFrame:
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest")
 
-
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
