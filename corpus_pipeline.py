@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from weftcloud.llm import bpe_transducer, exact_dedup, queries, suffix_decontam
+from weftcloud.llm import bpe_transducer, exact_dedup, minmax_dedup, queries, suffix_decontam, weak_labels
 from weftcloud.llm.store import ship, written
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return weak_labels.keep_good(docs, queries.table(spark, sf_dir, "labels"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minmax_dedup.drop_near_copies(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return suffix_decontam.remove_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
@@ -20,7 +28,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_transducer.digests(bpe_transducer.round_trip(docs, queries.tokenizer_path()))
 
 
-STAGES = [("exact dedup", drop_exact_copies), ("benchmark decontamination", decontaminate), ("byte-level BPE", tokenize)]
+STAGES = [("quality classifier", keep_good), ("exact dedup", drop_exact_copies), ("MinHash near-dedup", drop_near_copies), ("benchmark decontamination", decontaminate), ("byte-level BPE", tokenize)]
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_transducer, exact_dedup, hilbert, minmax_dedup, run_length_index, suffix_decontam, tree_weighting
+from . import bpe_transducer, exact_dedup, hilbert, html_layout, minmax_dedup, run_length_index, skip_chain_pii, suffix_decontam, tree_weighting, weak_labels
 from .store import ship
 
 
@@ -21,15 +21,27 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op2_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_decontam.digests(suffix_decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("longest")
 
 
+def op4_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skip_chain_pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7))
     return tree_weighting.score(table(spark, sf_dir, "documents"), fold != 2)
 
 
+def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_groups(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -77,7 +89,7 @@ FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op3_suffix_array_decontamination, op5_context_tree_weighting, op7_minmax_near_dedup, op8_bpe_transducer, op9_extendible_hash_dedup, op10_run_length_index_dedup)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op2_html_layout, op3_suffix_array_decontamination, op4_skip_chain_pii, op5_context_tree_weighting, op6_weak_label_quality, op7_minmax_near_dedup, op8_bpe_transducer, op9_extendible_hash_dedup, op10_run_length_index_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
