@@ -9,7 +9,8 @@ never meet in buckets.
 Links between classes are confirmed on the full sets, without emitting all pairs of a bucket:
 1. each class is tested against the bucket leader with which it shares most buckets; links are joined to components;
 2. classes are tested against all leaders of their buckets that lie in other components;
-3. what still shares a bucket across components is tested in full. Inside one component nothing is left to learn.
+3. of those that still share a bucket across components, pairs that share one of their rarest shingles are tested, which leaves out no
+   pair at the threshold. Inside one component nothing is left to learn.
 Steps 2 and 3 leave out pairs whose signatures agree on fewer values than any pair at the threshold would in 8 standard
 deviations. A bucket's members meet their leader by joins that adaptive execution can split; nothing is gathered by bucket.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textkit as tk
 from .components import components
@@ -158,6 +159,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "elems_a", "elems_b").mapInArrow(run, "a long, b long")
 
 
+def sharing_rare(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes (node, comp) of different components that can reach the threshold, by their rarest shingles.
+
+    With shingles in one order for all, rarest first, two sets of the wanted similarity share one of their first
+    n - ceil(percent * n / 100) + 1. A shingle that no other node has takes a place and makes no pair, so a set with
+    enough shingles of its own is compared with nothing, however large the group that it is in.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = tk.column_bytes(batch.column(2))
+            n = np.diff(off) // 8
+            for i, j in tk.row_blocks(off, 1 << 22):
+                row = pa.array(np.repeat(np.arange(i, j), n[i:j]))
+                part = np.ascontiguousarray(buf[off[i] : off[j]]).view(np.int64)
+                yield pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.repeat(n[i:j], n[i:j])), pa.array(part)], names=["node", "comp", "n", "token"])
+
+    tokens = written(nodes.join(sets, "node").select("node", "comp", "elems").mapInArrow(run, "node long, comp long, n long, token long"), "tokens")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = written(tokens.join(shared, "token"), "common")
+    places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    left = common.groupBy("node", "n").agg(F.count(F.lit(1)).alias("m")).select("node", (places - (F.col("n") - F.col("m"))).alias("left")).where("left > 0")
+    first = Window.partitionBy("node").orderBy("df", "token")
+    prefix = common.join(left, "node").withColumn("at", F.row_number().over(first)).where("at <= left").select("token", "node", "comp", "n")
+    prefix = written(prefix, "prefix")
+    mixed = prefix.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+    prefix = prefix.join(mixed, "token", "left_semi")
+    a = prefix.select("token", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
+    b = prefix.select("token", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+    return a.join(b, "token").where("ca <> cb and a > b").where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).select("a", "b").distinct()
+
+
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     ship(docs.sparkSession)
@@ -195,11 +228,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     # 3. whatever still shares a bucket across components
     held = labelled(members.select("key", "node"), "node", "comp")
     split = held.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    held = written(held.join(split, "key", "left_semi"), "split")
-    other = held.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    rest = held.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")).join(other, "key").where("ca <> cb and a > b").select("a", "b").distinct()
-    tested = shared.select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    rest = written(similar_enough(rest.join(tested, ["a", "b"], "left_anti"), sigs, percent / 100), "cross")
+    open_ = written(held.join(split, "key", "left_semi").select("node", "comp").distinct(), "open")
+    rest = written(similar_enough(sharing_rare(open_, sets, percent), sigs, percent / 100), "cross")
     new = written(confirmed(rest, sets, percent), "links")
     if not new.isEmpty():
         comps = components(links.union(new))

@@ -92,7 +92,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,63}){1,8}", re.I)
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]{1,63}){1,8}", re.I)
 _SIGN = re.compile(r"@|\(at\)|\[at\]", re.I)
 _NUMBER = re.compile(r"\+?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+")
 
