@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
 from .geometry import Triple, half_up
 
@@ -134,7 +135,7 @@ def packed(points: DataFrame, keys: tuple[str, ...], kind: str, order: str = "id
     return points.groupBy(*keys).applyInPandas(run, f"{kept}, point_count int, payload binary")
 
 
-@pandas_udf("boolean")
+@pandas_udf(BooleanType())
 def payload_finite(payload: pd.Series, kind: pd.Series) -> pd.Series:
     """Whether all coordinates of a payload are finite."""
 

@@ -77,14 +77,16 @@ def keyframes(batches: DataFrame, cfg: Config = Config()) -> DataFrame:
     def pick(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("sequence").reset_index(drop=True)
         rows, last = [], None
-        for k, (m, n) in enumerate(zip(_matrices(part), part["point_count"], strict=True)):
+        flat_, seq, counts, name = part[POSES].to_numpy(float), part["sequence"].to_numpy(), part["point_count"].to_numpy(), part["session_id"].iloc[0]
+        for k, (v, n) in enumerate(zip(flat_, counts, strict=True)):
             if not n:
                 continue
+            m = matrix(v[:3], v[3:])
             if last is not None:
                 step = np.linalg.inv(last) @ m
                 if np.linalg.norm(step[:3, 3]) < cfg.keyframe_m and angle_deg(step) < cfg.keyframe_deg:
                     continue
-            rows.append((part["session_id"][k], len(rows), k, part["sequence"][k], *part.loc[k, POSES]))
+            rows.append((name, len(rows), k, seq[k], *v))
             last = m
         return pd.DataFrame(rows, columns=["session_id", "kf", "batch_index", "sequence", *POSES])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.formats import STRIDES
@@ -76,14 +77,22 @@ def without_pose(batches: DataFrame, poses: DataFrame) -> DataFrame:
 
 
 def strict_sequence(rows: DataFrame, key: str = "session_id", sequence: str = "sequence", order: str = "arrival") -> DataFrame:
-    """Adds expected and in_order: poses and batches share one counter that starts at 1 and has no gaps.
+    """(key, order, sequence, expected, in_order): poses and batches share one counter that starts at 1 and has no gaps.
 
-    A row is accepted if it is one more than the rows accepted before it; rejected rows don't move the counter, so the n-th accepted row has
-    number n: the running maximum of contiguous numbers seen in order.
+    A row is accepted if it is one more than the last accepted row; rejected rows don't move the counter, so each verdict
+    depends on all before it and a session is judged in order.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    before = F.coalesce(F.lag(sequence).over(w), F.lit(0))
-    return rows.withColumn("expected", before + 1).withColumn("in_order", F.col(sequence) == F.col("expected"))
+
+    def judge(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        last, expected = 0, []
+        for n in part[sequence].tolist():
+            expected.append(last + 1)
+            last += n == last + 1
+        return part.assign(expected=expected, in_order=part[sequence] == expected)
+
+    kept = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (key, order, sequence))
+    return rows.select(key, order, sequence).groupBy(key).applyInPandas(judge, f"{kept}, expected bigint, in_order boolean")
 
 
 def monotone(rows: DataFrame, key: str = "session_id", sequence: str = "sequence", order: str = "arrival") -> DataFrame:

@@ -13,28 +13,29 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 MAGIC = 0x4C564350
-HEAD = struct.Struct("<4I")
+HEAD_BYTES = 16
 RECORDS = "path string, log_offset long, end_offset long, header string, payload binary, truncated_bytes long"
 HEADER = "struct<session_id:string,sequence:bigint,pose_sequence:bigint,timestamp:string,point_count:int,point_format:string,pose:struct<translation_m:array<double>,rotation_xyzw:array<double>>>"
 
 
 def frame(header: dict, payload: bytes) -> bytes:
     text = json.dumps(header, separators=(",", ":")).encode()
-    return HEAD.pack(MAGIC, len(text), len(payload), zlib.crc32(payload, zlib.crc32(text))) + text + payload
+    return struct.pack("<4I", MAGIC, len(text), len(payload), zlib.crc32(payload, zlib.crc32(text))) + text + payload
 
 
 def records(data: bytes, start: int = 0) -> Iterator[tuple[int, int, str, bytes]]:
     """(offset, end, header, payload) up to the first torn or damaged frame."""
     at = start
-    while at + HEAD.size <= len(data):
-        magic, head, body, crc = HEAD.unpack_from(data, at)
-        end = at + HEAD.size + head + body
-        if magic != MAGIC or end > len(data) or zlib.crc32(memoryview(data)[at + HEAD.size : end]) != crc:
+    while at + HEAD_BYTES <= len(data):
+        magic, head, body, crc = struct.unpack_from("<4I", data, at)
+        end = at + HEAD_BYTES + head + body
+        if magic != MAGIC or end > len(data) or zlib.crc32(memoryview(data)[at + HEAD_BYTES : end]) != crc:
             return
-        cut = at + HEAD.size + head
-        yield at, end, data[at + HEAD.size : cut].decode("utf-8", "replace"), data[cut:end]
+        cut = at + HEAD_BYTES + head
+        yield at, end, data[at + HEAD_BYTES : cut].decode("utf-8", "replace"), data[cut:end]
         at = end
 
 
@@ -80,10 +81,10 @@ def lookup(batches: DataFrame, session_id: str, sequence: int) -> DataFrame:
     return batches.where((F.col("session_id") == session_id) & (F.col("sequence") == sequence))
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def frame_of(header: pd.Series, payload: pd.Series) -> pd.Series:
     """Encodes records."""
-    return pd.Series([HEAD.pack(MAGIC, len(h.encode()), len(p), zlib.crc32(p, zlib.crc32(h.encode()))) + h.encode() + p for h, p in zip(header, payload, strict=True)])
+    return pd.Series([struct.pack("<4I", MAGIC, len(h.encode()), len(p), zlib.crc32(p, zlib.crc32(h.encode()))) + h.encode() + p for h, p in zip(header, payload, strict=True)])
 
 
 def u32(data: Column, at: int) -> Column:
@@ -95,9 +96,9 @@ def message_kind(message: Column) -> Column:
     """batch for an intact frame, the type of a JSON control message, else invalid."""
     size = F.octet_length(message)
     kind = F.get_json_object(message.cast("string"), "$.type")
-    body = F.substring(message, HEAD.size + 1, 2**31 - 1)
-    is_frame = (size >= HEAD.size) & (u32(message, 0) == MAGIC)
-    whole = (u32(message, 4) + u32(message, 8) + HEAD.size == size) & (F.crc32(body) == u32(message, 12))
+    body = F.substring(message, HEAD_BYTES + 1, 2**31 - 1)
+    is_frame = (size >= HEAD_BYTES) & (u32(message, 0) == MAGIC)
+    whole = (u32(message, 4) + u32(message, 8) + HEAD_BYTES == size) & (F.crc32(body) == u32(message, 12))
     return F.when(is_frame, F.when(whole, "batch").otherwise("invalid")).otherwise(F.coalesce(kind, F.lit("invalid")))
 
 
