@@ -5,7 +5,7 @@ A pose is a struct<tx,ty,tz,qx,qy,qz,qw: double>, world_T_sensor with a unit qua
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -44,16 +44,25 @@ def multiply(a: Sequence[Column], b: Sequence[Column]) -> tuple[Column, Column,
     return aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw, aw * bw - ax * bx - ay * by - az * bz
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once; nested pose arithmetic would else repeat it in every term."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def compose(a: Column, b: Column) -> Column:
     """a after b."""
-    return pose_of(to_world(a, (b["tx"], b["ty"], b["tz"])), multiply(quaternion(a), quaternion(b)))
+    product = lambda p: pose_of(to_world(p["a"], (p["b"]["tx"], p["b"]["ty"], p["b"]["tz"])), multiply(quaternion(p["a"]), quaternion(p["b"])))
+    return bound(F.struct(a.alias("a"), b.alias("b")), product)
 
 
 def inverse(pose: Column) -> Column:
-    qx, qy, qz, qw = quaternion(pose)
-    back = (-qx, -qy, -qz, qw)
-    x, y, z = rotate(back, (pose["tx"], pose["ty"], pose["tz"]))
-    return pose_of((-x, -y, -z), back)
+    def back(p: Column) -> Column:
+        qx, qy, qz, qw = quaternion(p)
+        turn = (-qx, -qy, -qz, qw)
+        x, y, z = rotate(turn, (p["tx"], p["ty"], p["tz"]))
+        return pose_of((-x, -y, -z), turn)
+
+    return bound(pose, back)
 
 
 def relative(source: Column, target: Column) -> Column:

@@ -89,7 +89,7 @@ def frame_of(header: pd.Series, payload: pd.Series) -> pd.Series:
 
 def u32(data: Column, at: int) -> Column:
     """Little-endian unsigned integer at a byte position."""
-    return F.conv(F.hex(F.reverse(F.substring(data, at + 1, 4))), 16, 10).cast("bigint")
+    return F.conv(F.concat(*[F.hex(F.substring(data, at + k, 1)) for k in (4, 3, 2, 1)]), 16, 10).cast("bigint")
 
 
 def message_kind(message: Column) -> Column:
