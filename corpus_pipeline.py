@@ -25,7 +25,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_transducer.digests(bpe_transducer.round_trip(docs, queries.tokenizer_path()))
+    return bpe_transducer.digests(bpe_transducer.round_trip(docs, queries.tokenizer_path(), keep=False, most_states=120_000))
 
 
 STAGES = [("quality classifier", keep_good), ("exact dedup", drop_exact_copies), ("MinHash near-dedup", drop_near_copies), ("benchmark decontamination", decontaminate), ("byte-level BPE", tokenize)]

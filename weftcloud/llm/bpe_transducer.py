@@ -36,8 +36,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
+        self.ranks, self.most_states = ranks, most_states
         self.token = {v: k for k, v in ranks.items()}
         self.opens = {t[:i] for t in ranks for i in range(1, len(t))}  # proper prefixes of tokens
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -80,7 +80,7 @@ class Transducer:
         known = self.pairs.get((left, right))
         if known is not None:
             return known
-        if len(self.pairs) > 4 * MOST_STATES:
+        if len(self.pairs) > 4 * self.most_states:
             self.pairs.clear()
         known = self.split(right) is not None
         if known and left >= 0:
@@ -147,14 +147,14 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.states) > MOST_STATES:
+        if len(self.states) > self.most_states:
             self.reset()
         out: list[int] = []
         state, moves = 0, self.moves
         for byte in piece:
             step = moves.get(state << 8 | byte)
             if step is None:
-                if len(self.states) > 2 * MOST_STATES:  # inside one very long piece: keep only where we are
+                if len(self.states) > 2 * self.most_states:  # inside one very long piece: keep only where we are
                     here = self.states[state]
                     self.reset()
                     moves, state = self.moves, 1
@@ -286,10 +286,10 @@ class Grown:
 class Codec:
     """Encodes and decodes columns; keeps its transducer for the life of the worker."""
 
-    _kept: dict[str, Codec] = {}
+    _kept: dict[tuple[str, int], Codec] = {}
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.machine, self.cutter = Transducer(ranks), Cutter()
+    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
+        self.machine, self.cutter = Transducer(ranks, most_states), Cutter()
         by_id = sorted((v, k) for k, v in ranks.items())
         top = by_id[-1][0] + 1
         self.length = np.zeros(top, np.int64)
@@ -299,15 +299,20 @@ class Codec:
         self.forget()
 
     @classmethod
-    def of(cls, path: str) -> Codec:
-        if path not in cls._kept:
-            cls._kept[path] = cls(load_ranks(path))
-        return cls._kept[path]
+    def of(cls, path: str, most_states: int = MOST_STATES) -> Codec:
+        if (path, most_states) not in cls._kept:
+            cls._kept[path, most_states] = cls(load_ranks(path), most_states)
+        return cls._kept[path, most_states]
 
     def forget(self) -> None:
         self.piece: dict[bytes, int] = {}
         self.starts, self.sizes, self.pool = Grown(np.int64), Grown(np.int64), Grown(np.uint32)
 
+    def drop_caches(self) -> None:
+        self.forget()
+        self.machine.reset()
+        self.machine.pairs.clear()
+
     def pieces(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Byte offsets of the starts of all pieces of UTF-8 rows end to end, and the end."""
         head = (buf & 0xC0) != 0x80
@@ -361,12 +366,16 @@ def stream_text(codec: Codec, ids: Iterator[int]) -> Iterator[str]:
     state.close()
 
 
-def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", block: int = 2 << 20) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit, as binary), decoded (binary) of each document."""
+def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", block: int = 2 << 20, keep: bool = True, most_states: int = MOST_STATES) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit, as binary), decoded (binary) of each document.
+
+    keep: whether Python workers keep their states between tasks, which is faster but holds memory that other stages on the same
+    executors may need.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(ranks_path)
+        codec = Codec.of(ranks_path, most_states)
         gc.disable()  # the caches hold no cycles
         for batch in batches:
             buf, off = tk.column_bytes(batch.column(1))
@@ -379,6 +388,8 @@ def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
                         state.feed(data[a : min(a + (1 << 16), int(where[k + 1]))].tobytes())
                     state.close()
                 yield pa.record_batch([batch.column(0).slice(i, j - i), tk.binary_rows(ids.astype("<u4"), at), tk.binary_rows(data, where)], names=["doc_id", "ids", "decoded"])
+        if not keep:
+            codec.drop_caches()
 
     picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, ids binary, decoded binary")
