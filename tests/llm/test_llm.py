@@ -387,7 +387,8 @@ def test_base_spans():
 def test_skip_chain_adds_repeats(spark, docs, empty):
     text = "Call +49 170 5551234, later 0170 555-1234; Ann.B@ex.org or ann.b (at) ex (dot) org; order 998877665"
     plain = "In 2020-10-11 we sold 12345678 items."
-    field = skip_chain_pii.Field.train(skip_chain_pii.Graph([text, plain] * 5, [skip_chain_pii.base_spans(t) for t in [text, plain] * 5]))
+    seen = ["Call +49 170 5551234", "Mail Ann.B@ex.org now", "Host 10.0.0.1 is up", plain] * 5
+    field = skip_chain_pii.Field.train(skip_chain_pii.Graph(seen, [skip_chain_pii.base_spans(t) for t in seen]))
     base, every = skip_chain_pii.found_in([text, plain, ""], field)
     found = [(skip_chain_pii.KINDS[k], text[s:e]) for k, s, e in every[0]]
     assert ("phone", "0170 555-1234") in found and ("email", "ann.b (at) ex (dot) org") in found and len(found) == 4
