@@ -293,3 +293,18 @@ def test_synthetic(spark):
     poses = synthetic.loop_poses(spark, steps=5).select("sequence", F.col("true_pose").alias("pose"))
     assert synthetic.room_scans(poses, 4, 10).count() == 200
     assert synthetic.shell(spark, 100, 0.0).count() == 100 and len(synthetic.bench_spin(1600)) == 1600
+
+
+def test_follower_equals_one_shot(spark, tmp_path):
+    from weftcloud.streaming.watch import Follower
+
+    poses = synthetic.loop_poses(spark, steps=25).withColumn("session_id", F.lit("s"))
+    scans = synthetic.room_scans(poses.select("sequence", F.col("true_pose").alias("pose")), 8, 60).withColumn("session_id", F.lit("s"))
+    batches = poses.select("session_id", "sequence", "pose_sequence", F.lit(480).alias("point_count"), "pose")
+    cfg = alignment.Config(min_gap=6, voxel_m=0.3)
+    f = Follower(spark, str(tmp_path), cfg)
+    loops = sum(f.extend(batches.where(w), scans.where(w), k) for k, w in enumerate(("sequence <= 20", "sequence > 20")))
+    whole = alignment.keyframes(batches, cfg)
+    key = lambda t: sorted((r.kf, r.sequence) for r in t.collect())
+    assert key(f.result().keyframes) == key(whole)
+    assert loops == f.result().loops.count() and f.result().poses.count() == 25

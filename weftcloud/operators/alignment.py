@@ -68,30 +68,50 @@ def _matrices(part: pd.DataFrame, prefix: str = "") -> list[np.ndarray]:
     return [matrix(r[:3], r[3:]) for r in v]
 
 
+def _picked(part: pd.DataFrame, last: np.ndarray | None, number: int, index: int, cfg: Config) -> pd.DataFrame:
+    """Keyframes among the batches of one session, given the last one, its successor's number and how many batches came before."""
+    part = part.sort_values("sequence").reset_index(drop=True)
+    rows = []
+    flat, seq, counts = part[POSES].to_numpy(float), part["sequence"].to_numpy(), part["point_count"].to_numpy()
+    for k, (v, n) in enumerate(zip(flat, counts, strict=True)):
+        if not n:
+            continue
+        m = matrix(v[:3], v[3:])
+        if last is not None:
+            step = np.linalg.inv(last) @ m
+            if np.linalg.norm(step[:3, 3]) < cfg.keyframe_m and angle_deg(step) < cfg.keyframe_deg:
+                continue
+        rows.append((part["session_id"].iloc[0], number + len(rows), index + k, seq[k], *v))
+        last = m
+    return pd.DataFrame(rows, columns=["session_id", "kf", "batch_index", "sequence", *POSES])
+
+
+KEYFRAMES = f"session_id string, kf int, batch_index int, sequence bigint, {_FLAT}"
+
+
+def _flat_poses(batches: DataFrame) -> DataFrame:
+    return batches.select("session_id", "sequence", "point_count", *[F.col(f"pose.{p}").alias(p) for p in POSES])
+
+
 def keyframes(batches: DataFrame, cfg: Config = Config()) -> DataFrame:
     """(session_id, kf, batch_index, sequence, pose columns): the first batch with points, then each that moved enough since the last chosen.
 
     batches: session_id, sequence, pose_sequence, point_count, pose.
     """
+    return _flat_poses(batches).groupBy("session_id").applyInPandas(lambda part: _picked(part, None, 0, 0, cfg), KEYFRAMES)
 
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("sequence").reset_index(drop=True)
-        rows, last = [], None
-        flat_, seq, counts, name = part[POSES].to_numpy(float), part["sequence"].to_numpy(), part["point_count"].to_numpy(), part["session_id"].iloc[0]
-        for k, (v, n) in enumerate(zip(flat_, counts, strict=True)):
-            if not n:
-                continue
-            m = matrix(v[:3], v[3:])
-            if last is not None:
-                step = np.linalg.inv(last) @ m
-                if np.linalg.norm(step[:3, 3]) < cfg.keyframe_m and angle_deg(step) < cfg.keyframe_deg:
-                    continue
-            rows.append((name, len(rows), k, seq[k], *v))
-            last = m
-        return pd.DataFrame(rows, columns=["session_id", "kf", "batch_index", "sequence", *POSES])
-
-    flat = batches.select("session_id", "sequence", "point_count", *[F.col(f"pose.{p}").alias(p) for p in POSES])
-    return flat.groupBy("session_id").applyInPandas(pick, f"session_id string, kf int, batch_index int, sequence bigint, {_FLAT}")
+
+def more_keyframes(batches: DataFrame, known: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Keyframes among new batches, going on from the last known one of each session (batch_index counts new batches only)."""
+    newest = known.groupBy("session_id").agg(F.max("kf").alias("kf"))
+    last = known.join(newest, ["session_id", "kf"]).select("session_id", "kf", *POSES)
+
+    def pick(key, part: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame([], columns=["session_id", "kf", "batch_index", "sequence", *POSES])
+        return _picked(part, _matrices(before)[0] if len(before) else None, int(before["kf"].iloc[0]) + 1 if len(before) else 0, 0, cfg)
+
+    return _flat_poses(batches).groupBy("session_id").cogroup(last.groupBy("session_id")).applyInPandas(pick, KEYFRAMES)
 
 
 def loop_candidates(kfs: DataFrame, cfg: Config = Config()) -> DataFrame:
