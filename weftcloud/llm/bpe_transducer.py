@@ -7,7 +7,7 @@ Reading a byte finds the new prefix's last token; tokens common to the paths of
 longer token could still begin are emitted, so lookahead is bounded by the longest token. States and transitions are
 built when first met and kept in a bounded cache which is emptied when full, as is the memory of whole pieces.
 
-Text is cut by the tokenizer's pattern first; a piece that is a token itself is emitted as such, like the reference library does.
+Text is cut by the tokenizer's pattern first; a piece that is a token itself is emitted as such, as the tiktoken library does.
 
 Defined cases: null text is empty and encodes to no ids; any text round-trips, also with NUL bytes or lone combining marks; very
 long pieces use memory in proportion to their length only; repeated rows keep a result each; an empty table gives no rows.

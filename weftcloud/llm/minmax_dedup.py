@@ -164,7 +164,8 @@ def sharing_rare(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     With shingles in one order for all, rarest first, two sets of the wanted similarity share one of their first
     n - ceil(percent * n / 100) + 1. A shingle that no other node has takes a place and makes no pair, so a set with
-    enough shingles of its own is compared with nothing, however large the group that it is in.
+    enough shingles of its own is compared with nothing, however large the group that it is in. The first shingle that two
+    sets share also bounds their intersection, by what is left of either from its place on; that is tested in the join.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,15 +181,16 @@ def sharing_rare(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     common = written(tokens.join(shared, "token"), "common")
     places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    left = common.groupBy("node", "n").agg(F.count(F.lit(1)).alias("m")).select("node", (places - (F.col("n") - F.col("m"))).alias("left")).where("left > 0")
+    left = common.groupBy("node", "n").agg(F.count(F.lit(1)).alias("m")).select("node", (F.col("n") - F.col("m")).alias("own"), (places - (F.col("n") - F.col("m"))).alias("left")).where("left > 0")
     first = Window.partitionBy("node").orderBy("df", "token")
-    prefix = common.join(left, "node").withColumn("at", F.row_number().over(first)).where("at <= left").select("token", "node", "comp", "n")
+    prefix = common.join(left, "node").withColumn("at", F.row_number().over(first)).where("at <= left").select("token", "node", "comp", "n", (F.col("n") - F.col("own") - F.col("at") + 1).alias("rest"))
     prefix = written(prefix, "prefix")
     mixed = prefix.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     prefix = prefix.join(mixed, "token", "left_semi")
-    a = prefix.select("token", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    b = prefix.select("token", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    return a.join(b, "token").where("ca <> cb and a > b").where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).select("a", "b").distinct()
+    a = prefix.select("token", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    b = prefix.select("token", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    enough = F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return a.join(b, "token").where("ca <> cb and a > b").where(enough).select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
