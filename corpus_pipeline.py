@@ -28,7 +28,18 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_transducer.digests(bpe_transducer.round_trip(docs, queries.tokenizer_path(), keep=False, most_states=120_000))
 
 
+def small_batches(stage):
+    """The stage with Arrow batches of a thousand rows, so that a worker holds a few megabytes of text at a time."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1024)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [("quality classifier", keep_good), ("exact dedup", drop_exact_copies), ("MinHash near-dedup", drop_near_copies), ("benchmark decontamination", decontaminate), ("byte-level BPE", tokenize)]
+STAGES = [(name, small_batches(stage)) for name, stage in STAGES]
 ORACLE_SQL = None
 
 
