@@ -390,6 +390,7 @@ def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
                 yield pa.record_batch([batch.column(0).slice(i, j - i), tk.binary_rows(ids.astype("<u4"), at), tk.binary_rows(data, where)], names=["doc_id", "ids", "decoded"])
         if not keep:
             codec.drop_caches()
+            tk.give_back()
 
     picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, ids binary, decoded binary")

@@ -203,6 +203,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
         for batch in batches:
             _, runs, _, _ = scan_all(batch.column(at), [b.value for b in blocks])
             yield batch.filter(pa.array([not r for r in runs], pa.bool_()))
+        tk.give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -210,6 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
         for batch in batches:
             keys = [keys_of(votes(measure(buf, off, shipped.value))) for _, _, buf, off in tk.text_blocks(batch.column(1), 1 << 20)]
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], names=["doc_id", "votes"])
+        tk.give_back()
 
     cast = texts.mapInArrow(run, "doc_id long, votes long").join(labels, "doc_id", "left")
     counts = cast.groupBy("votes", "quality", "toxic").count().toPandas()  # patterns, 3 ** labellers at most
@@ -264,5 +265,6 @@ def keep_good(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
         for batch in batches:
             good, toxic = model.value.score(batch.column(at))
             yield batch.filter(pa.array((good >= 0.5) & (toxic < 0.5)))
+        tk.give_back()
 
     return docs.mapInArrow(run, docs.schema)
