@@ -368,6 +368,20 @@ def test_scores(docs, empty):
     assert tree_weighting.score(empty, train).count() == 0
 
 
+def test_scores_do_not_depend_on_what_is_shipped(spark, docs, monkeypatch):
+    more = spark.createDataFrame([(100 + k, "".join(chr(0x4E00 + random.Random(k * 99 + i).randrange(300)) for i in range(200))) for k in range(8)], "doc_id bigint, text string")
+    every = docs.select("doc_id", "text").union(more)
+    train = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(7)) != 2
+    runs = []
+    for contexts, most in ((10**6, 10**7), (60, 10**7), (10**6, 100), (0, 0)):
+        monkeypatch.setattr(tree_weighting, "MOST_CONTEXTS", contexts)
+        monkeypatch.setattr(tree_weighting, "MOST_GRAMS", most)
+        runs.append(sorted((r.doc_id or -1, r.n_tokens, r.score, r.bits_per_byte) for r in tree_weighting.score(every, train).collect()))
+    for run in runs[1:]:
+        assert [r[:2] for r in run] == [r[:2] for r in runs[0]]
+        assert np.allclose([r[2:] for r in run], [r[2:] for r in runs[0]], rtol=1e-5, atol=1e-4)
+
+
 def test_base_spans():
     r = random.Random(8)
     rows = ["".join(r.choice("ab@@..-+ 1234567(9)%é\n") for _ in range(r.randrange(80))) for _ in range(5000)] + ["a" * 200_000, "1" * 200_000, "+1" + "2" * 100_000, "1.2.3.4.5.6.7.8 999.1.1.1 4111 1111 1111 1111", ""]
