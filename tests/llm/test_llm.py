@@ -411,6 +411,19 @@ def test_skip_chain_adds_repeats(spark, docs, empty):
     assert skip_chain_pii.find_personal_data(empty).count() == 0
 
 
+@pytest.mark.parametrize("bias", [0.0, 1.0, 2.0])
+def test_skip_chain_reaches_far_repeats(bias):
+    """Fifty repeats of forms that the patterns miss, with evidence at the first or the last only; other units stand between."""
+    seen = ["Call +49 170 5551234", "Mail Ann.B@ex.org now", "Host 10.0.0.1 is up", "In 2020-10-11 we sold 12345678 items."] * 5
+    field = skip_chain_pii.Field.train(skip_chain_pii.Graph(seen, [skip_chain_pii.base_spans(t) for t in seen]))
+    field.node[0, 0] += bias  # against all labels
+    phone, mail = [f"then 0170 555-1234 for order 9988{k:05d}" for k in range(50)], ["or ann.b (at) ex (dot) org"] * 50
+    for lines in (["Call +49 170 5551234", *phone], [*phone, "Call +49 170 5551234"], ["Ann.B@ex.org", *mail], [*mail, "Ann.B@ex.org"]):
+        base, every = skip_chain_pii.found_in(["\n".join(lines)], field)
+        kind = base[0][0][0]
+        assert len(base[0]) == 1 and sum(k == kind for k, _, _ in every[0]) == 51
+
+
 def test_weak_labels(spark):
     rows, labels = [], []
     for k in range(400):

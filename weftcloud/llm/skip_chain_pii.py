@@ -4,8 +4,10 @@ Base spans come from four patterns, found in linear time. The field's nodes are
 their labels are nothing or one of the four kinds. Node potentials come from features of a unit's own shape, chain potentials join neighbours
 of one document, and skip potentials join units with equal or similar content (the same digits up to punctuation and
 country prefix, the same address up to case and spelt-out signs), however far apart: each to the next such unit, so a thousand
-repetitions make a thousand edges. Units inside base spans are evidence. Loopy sum-product messages then carry labels along the edges, so
-what was recognised once is marked wherever it comes back in a form that the patterns miss. All documents of a block are one graph.
+repetitions make a thousand edges. Units inside base spans are evidence. Hub edges, with the same potential, join the first evidence of each kind
+to all other units of its content in the document, so that distance along the chain does not matter. Loopy sum-product messages then carry labels
+along the edges until they settle, so what was recognised once is marked wherever it comes back in a form that the patterns miss. All documents of a
+block are one graph.
 
 Potentials are trained here, on a bounded sample (SAMPLE documents of at most SAMPLE_BYTES bytes): node weights by logistic regression, chain and skip
 potentials from counts of label pairs.
@@ -142,15 +144,16 @@ def features(text: str, s: int, e: int) -> list[int]:
 
 
 class Graph:
-    """Units of many documents: features, evidence, chain and skip edges."""
+    """Units of many documents: features, evidence, chain, skip and hub edges."""
 
     def __init__(self, texts: list[str], bases: list[list[tuple[int, int, int]]]):
         self.spans: list[tuple[int, int, int]] = []  # document, start, end
         self.feature: list[list[int]] = []
         self.label: list[int] = []
-        chain, skip = [], []
+        chain, skip, hub = [], [], []
         for d, text in enumerate(texts):
             last: dict[str, int] = {}
+            group: dict[str, list[int]] = {}
             before = -1
             base = sorted((s, e, k) for k, s, e in bases[d])
             at, open_ = 0, []
@@ -169,8 +172,16 @@ class Graph:
                 if content in last:
                     skip.append((last[content], me))
                 before = last[content] = me
+                group.setdefault(content, []).append(me)
+            for members in group.values():
+                first: dict[int, int] = {}
+                for k, u in enumerate(members):
+                    if self.label[u]:
+                        first.setdefault(self.label[u], k)
+                hub += [(members[k], u) for k in first.values() for i, u in enumerate(members) if abs(i - k) > 1 and not self.label[u]]
         self.chain = np.array(chain, np.int64).reshape(-1, 2)
         self.skip = np.array(skip, np.int64).reshape(-1, 2)
+        self.hub = np.array(hub, np.int64).reshape(-1, 2)  # not counted in training
 
 
 class Field:
@@ -210,33 +221,38 @@ class Field:
         p = both / both.sum()
         return np.clip(np.log(p / np.outer(p.sum(axis=0), p.sum(axis=0))), -4, 4)
 
-    def marginals(self, graph: Graph, rounds: int = 12) -> np.ndarray:
-        """Label probabilities of all units by loopy sum-product, all messages at once."""
+    def marginals(self, graph: Graph, rounds: int = 1000) -> np.ndarray:
+        """Label probabilities of all units by loopy sum-product, all messages that still change at once; rounds only ends what never settles."""
         n, labels = len(graph.spans), len(KINDS) + 1
         if not n:
             return np.zeros((0, labels))
         own = self.node[np.array(graph.feature)].sum(axis=1)
         given = np.array(graph.label)
         own = np.where((given > 0)[:, None], np.where(np.arange(labels)[None, :] == given[:, None], 20.0, -20.0), own)
-        edges = np.concatenate([graph.chain, graph.skip])
-        kind = np.repeat([0, 1], [len(graph.chain), len(graph.skip)])
+        edges = np.concatenate([graph.chain, graph.skip, graph.hub])
+        kind = np.repeat([0, 1], [len(graph.chain), len(graph.skip) + len(graph.hub)])
         src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        potential = np.stack([self.chain, self.skip])[np.concatenate([kind, kind])]
+        kind = np.concatenate([kind, kind])
+        potential = np.stack([self.chain, self.skip])
         message = np.zeros((len(src), labels))
         total = own.copy()
-        for _ in range(rounds if len(src) else 0):
-            into = total[src] - message[back]
-            raw = into[:, :, None] + potential
+        out, at = np.argsort(src, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))])  # edges that leave each unit
+        live = np.arange(len(src))
+        for _ in range(rounds):
+            if not len(live):
+                break
+            into = np.where((given[src[live]] > 0)[:, None], own[src[live]], total[src[live]] - message[back[live]])  # nothing outvotes evidence
+            raw = into[:, :, None] + potential[kind[live]]
             top = raw.max(axis=1)
             new = top + np.log(np.exp(raw - top[:, None, :]).sum(axis=1))
             new -= new.max(axis=1, keepdims=True)
-            done = np.abs(new - message).max() < 1e-4
-            message = 0.5 * message + 0.5 * new
-            total = own.copy()
-            np.add.at(total, dst, message)
-            if done:
-                break
+            step = 0.5 * (new - message[live])
+            moved = np.abs(step).max(axis=1) >= 5e-5
+            message[live] += step
+            np.add.at(total, dst[live], step)
+            units_ = np.unique(dst[live[moved]])
+            live = np.union1d(live[moved], out[tk.ragged(at[units_], at[units_ + 1] - at[units_])])
         p = np.exp(total - total.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
