@@ -447,6 +447,24 @@ def test_weak_labels(spark):
     assert weak_labels.score_documents(docs, None).count() == len(rows)
 
 
+@pytest.mark.parametrize("small", [10**6, 0])
+def test_toxic_words_come_from_all_labelled_rows(spark, monkeypatch, small):
+    """Few labels among many documents: a sample of all documents would hold about one that is labelled toxic."""
+    monkeypatch.setattr(weak_labels, "SAMPLE", 100)
+    monkeypatch.setattr(weak_labels, "SMALL", small)
+    rows, labels = [], []
+    for k in range(2000):
+        words = prose(k, 80).split()
+        if k % 10 == 1:
+            words[5:8] = ["nasty", "vile", "nasty"]
+        rows.append((k, " ".join(words)))
+        if k % 100 in (1, 2):
+            labels.append((k, 1, int(k % 10 == 1)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.kept for r in weak_labels.score_documents(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
+    assert np.mean([got[k] for k in range(2000) if k % 10 == 1]) < 0.05 and np.mean([got[k] for k in range(2000) if k % 10 != 1]) > 0.95
+
+
 def test_em_finds_accuracies():
     r = np.random.default_rng(3)
     y = r.random(20_000) < 0.3

@@ -4,9 +4,11 @@ Heuristic labellers each vote 1, 0 or nothing on two questions of each document:
 where there are some, are one more labeller. Expectation-maximisation estimates how each labeller votes within either
 class, from the counts of vote patterns over all documents (a few thousand patterns at most, whatever the corpus). Posteriors of a bounded
 sample (SAMPLE documents of at most SAMPLE_BYTES, the only bounded part) then train a linear scorer over hashed words and binned
-statistics, which scores every whole text. A document stays if it is of good quality and not toxic.
+statistics, which scores every whole text. A document stays if it is of good quality and not toxic. The sample is drawn after labels are
+joined, from documents labelled toxic, other labelled ones and unlabelled ones separately; a row counts as many times as it stands for rows of its kind.
 
-The list of toxic words is learnt from the labelled rows of the sample by smoothed log-odds; rarer words on it count half.
+The list of toxic words is learnt from all labelled rows by smoothed log-odds; rarer words on it count half. Words that fewer than TOXIC_SHARE of
+the documents labelled toxic hold are not listed, which bounds the list whatever the corpus.
 
 Defined cases: null text is empty; an empty text votes nothing but on length and is scored like any other; without labels the
 labellers alone decide, and nothing is toxic; repeated rows and repeated labels count as often as they occur in votes, labels once by
@@ -24,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
-from .store import ship
+from .store import ship, written
 
 SAMPLE, SAMPLE_BYTES, BUCKETS = 8000, 1 << 16, 1 << 18
+SMALL = 1_000_000  # labels that are broadcast, at most
 TOXIC_SHARE = 0.02  # of the documents labelled toxic that a listed word occurs in, at least
 NO_WORDS = np.empty(0, np.uint64), np.empty(0, np.int64)
 QUALITY, TOXIC = 6, 3  # labellers of either question, besides given labels
@@ -142,14 +145,14 @@ def features(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return index, value, off
 
 
-def train(index: np.ndarray, value: np.ndarray, off: np.ndarray, target: np.ndarray, rounds: int = 150, decay: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic scorer, by full-batch steps with per-weight rates; soft targets."""
+def train(index: np.ndarray, value: np.ndarray, off: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 150, decay: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic scorer, by full-batch steps with per-weight rates; soft targets; weight: how often each row counts, 1 in the mean."""
     rows = np.repeat(np.arange(len(off) - 1), np.diff(off))
     n = max(len(off) - 1, 1)
     w, speed = np.zeros(BUCKETS + 256), np.full(BUCKETS + 256, 1e-8)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=w[index] * value, minlength=n), -30, 30)))
-        g = np.bincount(index, weights=(p - target)[rows] * value, minlength=len(w)) / n + decay * w
+        g = np.bincount(index, weights=((p - target) * weight)[rows] * value, minlength=len(w)) / n + decay * w
         speed += g * g
         w -= 0.5 * g / np.sqrt(speed)
     return w
@@ -173,22 +176,42 @@ class Scorer:
         return tuple(np.concatenate(x) if x else np.empty(0) for x in out)
 
 
-def learn_lexicon(texts: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes, with weights, of words much more frequent in documents labelled toxic (1) than in others (0); nan: no label."""
-    found = {0: [], 1: []}
-    for i, j, buf, off in tk.text_blocks(texts, 1 << 20):
-        b = measure(buf, off, NO_WORDS)
-        row = np.repeat(toxic[i:j], np.diff(b.off))
-        for c in found:
-            found[c].append(b.hashes[row == c])
-    both = [np.unique(np.concatenate(found[c]) if found[c] else np.empty(0, np.uint64), return_counts=True) for c in (0, 1)]
-    (words, n1), (other, n0) = both[1], both[0]
-    at = np.minimum(np.searchsorted(other, words), max(len(other) - 1, 0))
-    clean = np.where(other[at] == words, n0[at], 0) if len(other) else np.zeros(len(words), int)
-    odds = np.log((n1 + 0.5) / ((toxic == 1).sum() + 1)) - np.log((clean + 0.5) / ((toxic == 0).sum() + 1))
-    of_toxic = (toxic == 1).sum()
-    listed = (n1 >= np.maximum(4, TOXIC_SHARE * of_toxic)) & (odds > 3.0)
-    return words[listed], np.where(n1[listed] >= 4 * TOXIC_SHARE * of_toxic, 2, 1)
+def learn_lexicon(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes, with weights, of words much more frequent in documents labelled toxic (1) than in others (0); labelled: text, toxic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = np.empty(0, np.int64)
+        words, counts = empty, np.zeros((2, 0))
+        for batch in batches:
+            toxic = batch.column(1).to_numpy(zero_copy_only=False)
+            for i, j, buf, off in tk.text_blocks(batch.column(0), 1 << 20):
+                b = measure(buf, off, NO_WORDS)
+                row = np.repeat(toxic[i:j], np.diff(b.off))
+                words, where = np.unique(np.concatenate([words, b.hashes.view(np.int64)]), return_inverse=True)
+                counts = np.stack([np.bincount(where, weights=np.concatenate([counts[c], row == c]), minlength=len(words)) for c in (0, 1)])
+                if len(words) > 1 << 20:
+                    yield pa.record_batch([pa.array(words), *(pa.array(c.astype(np.int64)) for c in counts)], names=["word", "n0", "n1"])
+                    words, counts = empty, np.zeros((2, 0))
+        yield pa.record_batch([pa.array(words), *(pa.array(c.astype(np.int64)) for c in counts)], names=["word", "n0", "n1"])
+        tk.give_back()
+
+    clean, of_toxic = (labelled.where(F.col("toxic") == c).count() for c in (0, 1))
+    counts = labelled.select("text", "toxic").mapInArrow(run, "word long, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    odds = F.log((F.col("n1") + 0.5) / (of_toxic + 1)) - F.log((F.col("n0") + 0.5) / (clean + 1))
+    found = counts.where((F.col("n1") >= max(4, TOXIC_SHARE * of_toxic)) & (odds > 3.0)).toPandas()
+    words = found["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return words[order], np.where(found["n1"].to_numpy(float)[order] >= 4 * TOXIC_SHARE * of_toxic, 2, 1)
+
+
+def parts_taken(sizes: list[int]) -> list[float]:
+    """Which part of the documents labelled toxic, of other labelled ones and of unlabelled ones the sample takes; about SAMPLE rows together."""
+    toxic, clean, plain = sizes
+    take = [min(toxic, SAMPLE // 4)]
+    room = SAMPLE - take[0]
+    take.append(min(clean, max(room * clean // max(clean + plain, 1), room // 4)))
+    take.append(min(plain, room - take[1]))
+    return [min(1.0, t / max(n, 1)) for t, n in zip(take, sizes, strict=True)]
 
 
 def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
@@ -196,14 +219,22 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     if labels is None:
         labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    labels = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    total = docs.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    some = texts.where((share < int(1_000_000 * min(1.0, SAMPLE / max(total, 1)))) & (F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES)).limit(2 * SAMPLE)
-    sample = some.join(labels, "doc_id", "left").select("text", "quality", "toxic").toPandas()
+    labels = written(labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), "labels")
+    if labels.count() <= SMALL:
+        labels = F.broadcast(labels)  # else texts are dealt out by doc_id
+    joined = texts.join(labels, "doc_id", "left").withColumn("kind", F.when(F.col("toxic") == 1, 0).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 1).otherwise(2))
+    lexicon = learn_lexicon(texts.join(labels.where("toxic is not null"), "doc_id").select("text", "toxic"))
+    small = joined.where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES)
+    count = {r.kind: r["count"] for r in small.groupBy("kind").count().collect()}
+    sizes = [count.get(k, 0) for k in range(3)]
+    limit = [int(1_000_000 * x) for x in parts_taken(sizes)]
+    some = small.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(F.array(*map(F.lit, limit)), F.col("kind") + 1)).limit(2 * SAMPLE)
+    sample = some.select("text", "quality", "toxic", "kind").toPandas()
     column = pa.array(sample["text"].where(sample["text"].notna(), None).tolist(), pa.string())
     toxic, quality = (sample[c].astype(float).to_numpy() for c in ("toxic", "quality"))
-    lexicon = learn_lexicon(column, toxic)
+    kind = sample["kind"].to_numpy(np.int64)
+    weight = (np.array(sizes) / np.maximum(np.bincount(kind, minlength=3), 1))[kind]
+    weight /= max(weight.mean(), 1e-9) if len(weight) else 1
     shipped = spark.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,8 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
         return Scorer(lexicon, nothing, nothing - 1, {})
     index, value = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
-    w_good = train(index, value, off, np.concatenate(targets[0]))
-    w_toxic = train(index, value, off, np.concatenate(targets[1])) if len(lexicon[0]) else np.zeros(BUCKETS + 256)
+    w_good = train(index, value, off, np.concatenate(targets[0]), weight)
+    w_toxic = train(index, value, off, np.concatenate(targets[1]), weight) if len(lexicon[0]) else np.zeros(BUCKETS + 256)
     if not len(lexicon[0]):
         w_toxic[:256] = -1.0
     return Scorer(lexicon, w_good.astype(np.float32), w_toxic.astype(np.float32), {"quality": good_shares.tolist(), "toxic": bad_shares.tolist()})
