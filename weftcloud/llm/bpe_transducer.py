@@ -2,10 +2,12 @@
 
 A token sequence is the merge result of a byte string exactly if each adjacent pair is: encoding the pair's own bytes
 gives that pair back. So every prefix has one last token: the only suffix in the vocabulary that is compatible with the last token
-of what stands before it. A state of the transducer is (last emitted token, bytes pending, last token of each pending prefix).
-Reading a byte finds the new prefix's last token; tokens common to the paths of all positions at which a
-longer token could still begin are emitted, so lookahead is bounded by the longest token. States and transitions are
-built when first met and kept in a bounded cache which is emptied when full, as is the memory of whole pieces.
+of what stands before it. The byte automaton that follows all tokens that may have begun is determinised as it is run: a state is what was
+read from the first place where a token may have begun, and is built when first met; there are no more of them than prefixes of tokens. The
+transducer is in such a state and holds the last token of each pending prefix. A byte leads to the next state, which knows the
+longest token that ends there; that or a shorter one is compatible. Tokens common to the paths to all places at which a longer
+token may still have begun are emitted, so lookahead is bounded by the longest token; the rest follow at the end of a piece.
+Pieces are remembered by their bytes, within bounds. Decoding feeds the tokens' bytes to an incremental UTF-8 machine, which gives out the text.
 
 Text is cut by the tokenizer's pattern first; a piece that is a token itself is emitted as such, as the tiktoken library does.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import gc
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import textkit as tk
 from .store import ship
 
-MOST_STATES = 300_000
-MOST_PIECES = 300_000
+MOST_PAIRS = 1_000_000
+MOST_PIECES = 400_000
+STREAM = 1 << 14
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,19 +40,41 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
-        self.ranks, self.most_states = ranks, most_states
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.token = {v: k for k, v in ranks.items()}
+        self.size = {v: len(k) for k, v in ranks.items()}
+        self.longest = max(map(len, ranks))
         self.opens = {t[:i] for t in ranks for i in range(1, len(t))}  # proper prefixes of tokens
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.forget()
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self.reset()
+        # states of the determinised byte automaton: what was read, from where a token can have begun; one for each prefix of a token at most
+        self.node: dict[bytes, int] = {b"": 0}
+        self.name: list[bytes] = [b""]
+        self.ending: list[tuple] = [()]  # (token, its size, its known left neighbours) of the tokens that end there, longest first
+        self.begun: list[tuple[int, ...]] = [()]  # how many bytes ago a longer token may have begun, longest first
+        self.step: list[dict[int, int]] = [{}]
 
-    def reset(self) -> None:
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        #: before, pending, last token of each pending prefix, path to each pending prefix
-        self.states: list[tuple[int, bytes, tuple, tuple]] = [(-1, b"", (), ())]
-        self.number = {(-1, b""): 0}
+    def forget(self) -> None:
+        self.known: dict[int, dict[int, bool]] = {}  # by token and left neighbour
+        self.pairs = 0
+
+    def read(self, node: int, byte: int) -> int:
+        data = self.name[node] + bytes((byte,))
+        while data not in self.opens and data not in self.ranks:
+            data = data[1:]
+            if not data:
+                raise ValueError("the vocabulary lacks a byte")
+        to = self.node.get(data)
+        if to is None:
+            to = self.node[data] = len(self.name)
+            self.name.append(data)
+            ends = [self.ranks[data[i:]] for i in range(len(data)) if data[i:] in self.ranks]
+            self.ending.append(tuple((t, self.size[t], self.known.setdefault(t, {})) for t in ends))
+            self.begun.append(tuple(len(data) - i for i in range(len(data)) if data[i:] in self.opens))
+            self.step.append({})
+        self.step[node][byte] = to
+        return to
 
     def merged(self, data: bytes, stop: int = 1) -> list[bytes]:
         """The merge rule itself, for short strings: join the adjacent pair of least rank until none is in the vocabulary."""
@@ -77,11 +103,10 @@ class Transducer:
         Towards earlier merges the tokens that touch the boundary shrink: those on the left to their last part, those on the
         right to their first. The boundary breaks if two that exist at one time join before either joins its own neighbour.
         """
-        known = self.pairs.get((left, right))
-        if known is not None:
-            return known
-        if len(self.pairs) > 4 * self.most_states:
-            self.pairs.clear()
+        if self.pairs > MOST_PAIRS:
+            for row in self.known.values():
+                row.clear()
+            self.pairs = 0
         known = self.split(right) is not None
         if known and left >= 0:
             ranks, token, split = self.ranks, self.token, self.split
@@ -99,73 +124,77 @@ class Transducer:
                     y, y_until = y_parts[0], y
                 else:
                     x, x_until = x_parts[1], x
-        self.pairs[left, right] = known
+        self.known.setdefault(right, {})[left] = known
+        self.pairs += 1
         return known
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Builds the transition of a state by a byte: (next state, emitted tokens)."""
-        before, pending, lasts, paths = self.states[state]
-        pending += bytes((byte,))
-        n, ranks, pairs = len(pending), self.ranks, self.pairs
-        for i in range(n):
-            t = ranks.get(pending[i:])
-            if t is not None:
-                left = lasts[i - 1] if i else before
-                ok = pairs.get((left, t))
-                if ok or ok is None and self.compatible(left, t):
+    def encode(self, piece: bytes) -> list[int]:
+        return self.encode_all([piece])[0]
+
+    def encode_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """The tokens of each piece; in sorted order each piece starts where it parts from the one before."""
+        done = []
+        step, ending, ranks, compatible = self.step, self.ending, self.ranks, self.compatible
+        nodes: list[int] = [0]
+        lasts: list[int] = []  # last token of each prefix of what isn't emitted yet
+        last = b""
+        for piece in pieces:
+            whole = ranks.get(piece)
+            if whole is not None:
+                done.append([whole])
+                continue
+            n = 0
+            for x, y in zip(last, piece):
+                if x != y:
                     break
-        else:
-            raise ValueError("the vocabulary lacks a byte")
-        lasts += (t,)
-        paths += ((*paths[i - 1], t) if i else (t,),)
-        out: tuple[int, ...] = ()
-        if pending not in self.opens:
-            common = paths[-1]
-            for i in range(1, n):
-                if pending[i:] in self.opens:
-                    other = paths[i - 1]
-                    k, most = 0, min(len(common), len(other))
-                    while k < most and common[k] == other[k]:
-                        k += 1
-                    common = common[:k]
-                    if not k:
+                n += 1
+            del nodes[n + 1 :], lasts[n:]
+            out: list[int] = []
+            node, before, check = nodes[-1], -1, 2 * self.longest
+            for byte in piece[n:] if n else piece:
+                to = step[node].get(byte)
+                node = self.read(node, byte) if to is None else to
+                n += 1
+                for t, size, known in ending[node]:
+                    k = n - size
+                    left = lasts[k - 1] if k else before
+                    ok = known.get(left)
+                    if ok or ok is None and compatible(left, t):
                         break
-            out = common
-            if out:
-                cut = sum(len(self.token[t]) for t in out)
-                before, pending, lasts = out[-1], pending[cut:], lasts[cut:]
-                paths = tuple(p[len(out) :] for p in paths[cut:])
-        key = (before, pending)
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.states)
-            self.states.append((before, pending, lasts, paths))
-        step = self.moves[state << 8 | byte] = to, out
-        return step
-
-    def encode(self, piece: bytes) -> tuple[int, ...]:
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return (whole,)
-        if len(self.states) > self.most_states:
-            self.reset()
-        out: list[int] = []
-        state, moves = 0, self.moves
-        for byte in piece:
-            step = moves.get(state << 8 | byte)
-            if step is None:
-                if len(self.states) > 2 * self.most_states:  # inside one very long piece: keep only where we are
-                    here = self.states[state]
-                    self.reset()
-                    moves, state = self.moves, 1
-                    self.states.append(here)
-                    self.number[here[0], here[1]] = 1
-                step = self.move(state, byte)
-            state, emitted = step
-            if emitted:
-                out.extend(emitted)
-        paths = self.states[state][3]
-        return (*out, *paths[-1]) if paths else tuple(out)
+                lasts.append(t)
+                nodes.append(node)
+                if n >= check:
+                    at = self.settled(node, lasts)
+                    if at:
+                        out += self.path(lasts, at)
+                        before, n = out[-1], n - at
+                        del lasts[:at], nodes[:at]
+                    check = max(2 * self.longest, 2 * n)
+            done.append(out + self.path(lasts, n))
+            last = piece
+            if out:  # what was emitted can't be shared
+                nodes, lasts, last = [0], [], b""
+        return done
+
+    def settled(self, node: int, lasts: list[int]) -> int:
+        """The last place that the paths to all places where a token may still begin have in common."""
+        size, at = self.size, len(lasts)
+        for ago in self.begun[node]:
+            other = len(lasts) - ago
+            while at != other:
+                if at > other:
+                    at -= size[lasts[at - 1]]
+                else:
+                    other -= size[lasts[other - 1]]
+        return at
+
+    def path(self, lasts: list[int], at: int) -> list[int]:
+        """The tokens up to a place."""
+        out = []
+        while at:
+            out.append(lasts[at - 1])
+            at -= self.size[lasts[at - 1]]
+        return out[::-1]
 
 
 class Cutter:
@@ -269,27 +298,13 @@ class Utf8Stream:
             raise ValueError("UTF-8 ends inside a code point")
 
 
-class Grown:
-    """An array that doubles when full."""
-
-    def __init__(self, kind):
-        self.data, self.used = np.empty(1 << 12, kind), 0
-
-    def extend(self, values) -> None:
-        values = np.asarray(values, self.data.dtype)
-        while self.used + len(values) > len(self.data):
-            self.data = np.concatenate([self.data, np.empty_like(self.data)])
-        self.data[self.used : self.used + len(values)] = values
-        self.used += len(values)
-
-
 class Codec:
     """Encodes and decodes columns; keeps its transducer for the life of the worker."""
 
-    _kept: dict[tuple[str, int], Codec] = {}
+    _kept: dict[str, Codec] = {}
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
-        self.machine, self.cutter = Transducer(ranks, most_states), Cutter()
+    def __init__(self, ranks: dict[bytes, int], most_pieces: int = MOST_PIECES):
+        self.machine, self.cutter, self.most_pieces = Transducer(ranks), Cutter(), most_pieces
         by_id = sorted((v, k) for k, v in ranks.items())
         top = by_id[-1][0] + 1
         self.length = np.zeros(top, np.int64)
@@ -299,19 +314,21 @@ class Codec:
         self.forget()
 
     @classmethod
-    def of(cls, path: str, most_states: int = MOST_STATES) -> Codec:
-        if (path, most_states) not in cls._kept:
-            cls._kept[path, most_states] = cls(load_ranks(path), most_states)
-        return cls._kept[path, most_states]
+    def of(cls, path: str) -> Codec:
+        if path not in cls._kept:
+            cls._kept[path] = cls(load_ranks(path))
+        return cls._kept[path]
 
     def forget(self) -> None:
-        self.piece: dict[bytes, int] = {}
-        self.starts, self.sizes, self.pool = Grown(np.int64), Grown(np.int64), Grown(np.uint32)
+        """Pieces with their ids as bytes, the newer half and the older half."""
+        self.piece: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def drop_caches(self) -> None:
         self.forget()
-        self.machine.reset()
-        self.machine.pairs.clear()
+        for row in self.machine.known.values():
+            row.clear()
+        self.machine.pairs = 0
 
     def pieces(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Byte offsets of the starts of all pieces of UTF-8 rows end to end, and the end."""
@@ -326,75 +343,68 @@ class Codec:
         cuts = self.pieces(buf, off)
         if len(cuts) == 1:
             return np.empty(0, np.uint32), np.zeros(len(off), np.int64)
-        if len(self.piece) > MOST_PIECES:
-            self.forget()
-        h = tk.span_hash(tk.prefix_hash(buf, tk.CODE_EXACT), cuts[:-1], cuts[1:])
-        _, one, which = np.unique(h, return_index=True, return_inverse=True)
-        data, known = buf.tobytes(), self.piece
-        names = [data[a:b] for a, b in zip(cuts[one].tolist(), cuts[one + 1].tolist(), strict=True)]
-        sizes, fresh = [], []
-        count = len(known)
-        for p in names:
-            if p not in known:
-                ids = self.machine.encode(p)
-                known[p] = count + len(sizes)
-                sizes.append(len(ids))
-                fresh.extend(ids)
-        if sizes:
-            self.starts.extend(self.pool.used + np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            self.sizes.extend(sizes)
-            self.pool.extend(fresh)
-        at = np.array([known[p] for p in names], np.int64)[which]
-        n = self.sizes.data[at]
-        ids = self.pool.data[tk.ragged(self.starts.data[at], n)]
-        total = np.concatenate([[0], np.cumsum(n)])
-        return ids, total[np.searchsorted(cuts[:-1], off)]
-
-    def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes of all rows end to end, offsets)."""
-        n = self.length[ids]
-        data = self.blob[tk.ragged(self.at[ids], n)]
-        return data, np.concatenate([[0], np.cumsum(n)])[off]
+        if len(self.piece) > self.most_pieces // 2:
+            self.piece, self.older = {}, self.piece
+        data, known, older, ends = buf.tobytes(), self.piece, self.older, cuts.tolist()
+        names = [data[a:b] for a, b in zip(ends, ends[1:])]  # looked up by their bytes
+        found = list(map(known.get, names))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        new = {names[k] for k in missing}
+        for p in new & older.keys():
+            known[p] = older[p]
+        fresh = sorted(new - older.keys())
+        known.update(zip(fresh, (array("I", ids).tobytes() for ids in self.machine.encode_all(fresh))))
+        for k in missing:
+            found[k] = known[names[k]]
+        total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) >> 2)])
+        return np.frombuffer(b"".join(found), np.uint32), total[np.searchsorted(cuts[:-1], off)]
+
+    def token_bytes(self, ids: np.ndarray) -> bytes:
+        return self.blob[tk.ragged(self.at[ids], self.length[ids])].tobytes()
+
+    def decode(self, ids: np.ndarray, off: np.ndarray) -> list[str]:
+        """The text of each row, by a UTF-8 machine that is fed STREAM tokens at a time."""
+        out = []
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+            machine, parts = Utf8Stream(), []
+            for k in range(a, b, STREAM):
+                parts.append(machine.feed(self.token_bytes(ids[k : min(k + STREAM, b)])))
+            machine.close()
+            out.append("".join(parts))
+        return out
 
 
 def stream_text(codec: Codec, ids: Iterator[int]) -> Iterator[str]:
     """Decodes a stream of ids to text, each piece as soon as it is complete."""
     state = Utf8Stream()
     for i in ids:
-        if part := state.feed(codec.blob[codec.at[i] : codec.at[i] + codec.length[i]].tobytes()):
+        if part := state.feed(codec.token_bytes(np.array([i]))):
             yield part
     state.close()
 
 
-def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", block: int = 2 << 20, keep: bool = True, most_states: int = MOST_STATES) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit, as binary), decoded (binary) of each document.
+def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", block: int = 2 << 20, keep: bool = True) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit, as binary), decoded (string) of each document.
 
-    keep: whether Python workers keep their states between tasks, which is faster but holds memory that other stages on the same
+    keep: whether Python workers keep what they remember between tasks, which is faster but holds memory that other stages on the same
     executors may need.
     """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(ranks_path, most_states)
+        codec = Codec.of(ranks_path)
         gc.disable()  # the caches hold no cycles
         for batch in batches:
-            buf, off = tk.column_bytes(batch.column(1))
-            for i, j in tk.row_blocks(off, block):
-                ids, at = codec.encode(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                data, where = codec.decode(ids, at)
-                for k in range(j - i):  # streaming check: every row ends on a whole code point
-                    state = Utf8Stream()
-                    for a in range(int(where[k]), int(where[k + 1]), 1 << 16):
-                        state.feed(data[a : min(a + (1 << 16), int(where[k + 1]))].tobytes())
-                    state.close()
-                yield pa.record_batch([batch.column(0).slice(i, j - i), tk.binary_rows(ids.astype("<u4"), at), tk.binary_rows(data, where)], names=["doc_id", "ids", "decoded"])
+            for i, j, buf, off in tk.text_blocks(batch.column(1), block):
+                ids, at = codec.encode(buf, off)
+                yield pa.record_batch([batch.column(0).slice(i, j - i), tk.binary_rows(ids.astype("<u4"), at), pa.array(codec.decode(ids, at), pa.string())], names=["doc_id", "ids", "decoded"])
         if not keep:
             codec.drop_caches()
-            tk.give_back()
+        tk.give_back()
 
     picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return picked.mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
 def digests(trips: DataFrame) -> DataFrame:
-    return trips.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return trips.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -1,11 +1,15 @@
 """Exact dedup through an extendible-hash index on shared files (DataFrame functions only).
 
-Every row is hashed to 64 bits; the leading bits pick a cell of a directory. The directory doubles (one more bit)
-for as long as a bucket holds more than its capacity of distinct hashes, so a bucket of local depth d covers 2^(D-d) cells.
-Records with their bucket go to a Parquet table in the shared folder. The owner tasks each have a part of the
-key space (bucket, hash): within one key, chained entries are told apart by comparing the normalised bytes
-themselves. A map-side combine leaves one entry per distinct text and task, so a group that holds a third of all rows
-reaches its owner as a few entries; members find their group by a join which adaptive execution can split.
+Every text is hashed to 64 bits; an index entry is a distinct hash with how often it occurs and which row with it is the greatest.
+Entries lie in bucket files in the shared folder, dealt out by their leading bits, sorted, so that a task that reads them owns a
+range of keys. A bucket with more than its capacity of entries is split: the directory doubles, and the bucket's entries are
+written anew by one more bit, until no bucket is overfull. A bucket of local depth d stands in 2^(D-d) cells of the
+directory of depth D. To look a row up, the leading D bits of its hash are its cell, the cell names the bucket, and the bucket has the entry.
+
+An entry is a chain of the texts that have its hash, told apart by their bytes (they are the key of an aggregation, which
+combines on the map side, so a group that holds a third of all rows reaches its owner as a few texts). Where a chain holds one text, which it
+does unless two texts share 64 bits, its rows need no further look; rows of any other find theirs by the bytes again. Rows meet their
+entries in joins that adaptive execution can split.
 
 Defined cases: null text counts as empty. Of equal texts the row with the largest doc_id stays; null doc_ids come last and
 of rows that repeat the largest doc_id exactly one stays. An empty table gives no rows. Other columns are untouched,
@@ -14,6 +18,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,7 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .store import written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_DEPTH = 12
+CAPACITY = 1 << 16
+SMALL_DIRECTORY = 1 << 16  # cells that are broadcast, at most
 
 
 def normalised(text: Column) -> Column:
@@ -29,48 +35,79 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
 
 
-def directory(hashes: DataFrame, capacity: int, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(cell, bucket, depth) for each of the occupied cells of the doubled directory, 2^max_depth rows at most.
-
-    The buckets grow by doubling: depth d holds where a bucket of depth d-1 is over its capacity.
-    """
-    cell = F.shiftrightunsigned("h", 64 - max_depth)
-    level = hashes.groupBy(cell.alias("cell")).agg(F.approx_count_distinct("h", 0.02).alias("load"))
-    out = level.select("cell", "load", F.lit(0).alias("depth"))
-    for d in range(1, max_depth + 1):
-        load = level.groupBy(F.shiftright("cell", max_depth - d + 1).alias("parent")).agg(F.sum("load").alias("parent_load"))
-        full = load.where(F.col("parent_load") > capacity).select(F.col("parent").alias("p"), F.lit(d).alias("split_to"))
-        out = out.join(F.broadcast(full), F.shiftright("cell", max_depth - d + 1) == F.col("p"), "left").select(
-            "cell", "load", F.coalesce("split_to", "depth").alias("depth")
-        )
-    bucket = F.expr(f"shiftleft(shiftright(cell, {max_depth} - depth), {max_depth} - depth)")
-    return out.select("cell", bucket.alias("bucket"), "depth")
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1 << 16, row_col: str | None = None) -> DataFrame:
-    """One row for each row of docs: doc_id, uid, keep_id, group_size, kept, sha, bucket; row_col: a long that tells rows apart."""
+def leading(h: Column | str, bits: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
+
+
+class Index:
+    """entries: all columns given and depth, bucket; buckets: (depth, bucket) of each bucket; depth: of the directory."""
+
+    def __init__(self, entries: DataFrame, buckets: DataFrame, depth: int):
+        self.entries, self.buckets, self.depth = entries, buckets, depth
+
+    @classmethod
+    def build(cls, entries: DataFrame, rows: int, capacity: int = CAPACITY) -> Index:
+        """entries: distinct hashes h and what belongs to them; rows: how many there are at most."""
+        depth = max(math.ceil(math.log2(max(rows, 1) / capacity)), 0)
+        # sorted ranges of keys in each file
+        now = written(entries.withColumns({"depth": F.lit(depth), "bucket": leading("h", depth)}).repartitionByRange("bucket", "h"), "buckets")
+        parts, names = [], []
+        while True:
+            load = written(now.groupBy("depth", "bucket").agg(F.count(F.lit(1)).alias("load")), "load")
+            overfull = load.where(F.col("load") > capacity).select("bucket") if depth < 64 else load.where("false").select("bucket")
+            names.append(load.where(F.col("load") <= capacity).select("depth", "bucket") if depth < 64 else load.select("depth", "bucket"))
+            if overfull.isEmpty():
+                parts.append(now)
+                break
+            parts.append(now.join(overfull, "bucket", "left_anti").select(now.columns))
+            depth += 1
+            split = now.join(overfull, "bucket", "left_semi").select(now.columns)
+            now = written(split.withColumns({"depth": F.lit(depth), "bucket": leading("h", depth)}).repartitionByRange("bucket", "h"), "buckets")
+        whole, all_names = parts[0], names[0]
+        for p, n in zip(parts[1:], names[1:], strict=True):
+            whole, all_names = whole.unionByName(p), all_names.unionByName(n)
+        return cls(whole, all_names, depth)
+
+    def directory(self) -> DataFrame:
+        """(cell, depth, bucket) of all cells that have entries."""
+        span = F.expr(f"shiftleft(1L, cast({self.depth} - depth as int))")  # cells of one bucket
+        return self.buckets.select(F.explode(F.sequence(F.col("bucket") * span, (F.col("bucket") + 1) * span - 1)).alias("cell"), "depth", "bucket")
+
+    def placed(self, keys: DataFrame) -> DataFrame:
+        """keys (with h) and the bucket of their cell."""
+        directory = self.directory().select("cell", "bucket")
+        if 1 << self.depth <= SMALL_DIRECTORY:
+            directory = F.broadcast(directory)
+        return keys.withColumn("cell", leading("h", self.depth)).join(directory, "cell").drop("cell")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, row_col: str | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, uid, keep_id, group_size, kept, sha, bucket; row_col: a long that tells rows of a stored table apart."""
     order = F.coalesce("doc_id", F.lit(-(2**63))).cast("decimal(19,0)") * F.lit(Decimal(10) ** 19) + F.col("uid").cast("decimal(19,0)")
-    records = written(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("uid"))
-        .select("doc_id", "uid", "norm", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")),
-        "records",
-    )
-    cells = directory(records.select("h"), capacity).select(F.col("cell").alias("of_cell"), "bucket")
-    cell = F.shiftrightunsigned("h", 64 - MAX_DEPTH)
-    indexed = records.join(F.broadcast(cells), cell == F.col("of_cell")).withColumn("order", order)
-    # one chain entry for each distinct text of a key; max and count combine before the shuffle
-    chains = indexed.groupBy("bucket", "h", "norm").agg(F.max("order").alias("top"), F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    chains = chains.select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "bucket", "top", "keep_id", "group_size")
-    members = records.select("doc_id", "uid", "h", "sha").join(chains, ["h", "sha"])
-    return members.select("doc_id", "uid", "keep_id", "group_size", (order == F.col("top")).alias("kept"), "sha", "bucket")
+    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), normalised(F.col(f"`{text_col}`")).alias("norm"), (F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()).alias("uid"))
+    picked = picked.withColumn("h", F.xxhash64("norm"))
+    if row_col:
+        records, texts = written(picked.drop("norm").withColumn("sha", F.lit(None).cast("binary")), "records"), picked
+    else:
+        records = texts = written(picked.withColumn("sha", F.unhex(F.sha2("norm", 256))), "records")
+    entries = records.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("first"), F.max("doc_id").alias("top_id"))
+    index = Index.build(entries, records.count(), capacity)
+    # the texts of each entry, told apart by their bytes
+    chains = index.placed(texts.select("h", "norm", "doc_id", "uid")).groupBy("bucket", "h", "norm").agg(F.max(order).alias("top"), F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
+    forked = written(chains.select("bucket", "h"), "chains").groupBy("bucket", "h").count().where("count > 1").select("bucket", "h")
+    whole = index.entries.join(forked, ["bucket", "h"], "left_anti").select("bucket", "h", F.col("first").alias("top"), F.col("top_id").alias("keep_id"), F.col("n").alias("size"))
+    rows = index.placed(records.select("doc_id", "uid", "h", "sha"))
+    found = [rows.join(whole, ["bucket", "h"])]
+    if not forked.isEmpty():
+        by_bytes = chains.join(forked, ["bucket", "h"], "left_semi")
+        found.append(index.placed(texts.select("doc_id", "uid", "h", "norm")).join(by_bytes, ["bucket", "h", "norm"]).withColumn("sha", F.unhex(F.sha2("norm", 256))))
+    out = [r.select("doc_id", "uid", "keep_id", F.col("size").alias("group_size"), (order == F.col("top")).alias("kept"), "sha", "bucket") for r in found]
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all columns of docs."""
-    if not isinstance(docs, DataFrame):
-        raise TypeError("docs must be a DataFrame")
-    cols = docs.columns
-    rows = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.monotonically_increasing_id().alias("rid")), "rows")
+    rows = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid")), "rows")
     keyed = rows.select(F.col(f"row.`{id_col}`").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"), "rid")
     kept = exact_groups(keyed, row_col="rid").where("kept").select(F.col("uid").alias("rid"))
     return rows.join(kept, "rid").select("row.*")

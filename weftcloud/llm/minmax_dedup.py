@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textkit as tk
 from .components import components
-from .store import ship, written
+from .store import dropped, ship, written
 
 PERMUTATIONS, ROWS = 150, 6
 _rng = np.random.default_rng(77001)
@@ -180,17 +180,21 @@ def sharing_rare(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tokens = written(nodes.join(sets, "node").select("node", "comp", "elems").mapInArrow(run, "node long, comp long, n long, token long"), "tokens")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     common = written(tokens.join(shared, "token"), "common")
+    dropped(tokens)
     places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     left = common.groupBy("node", "n").agg(F.count(F.lit(1)).alias("m")).select("node", (F.col("n") - F.col("m")).alias("own"), (places - (F.col("n") - F.col("m"))).alias("left")).where("left > 0")
     first = Window.partitionBy("node").orderBy("df", "token")
     prefix = common.join(left, "node").withColumn("at", F.row_number().over(first)).where("at <= left").select("token", "node", "comp", "n", (F.col("n") - F.col("own") - F.col("at") + 1).alias("rest"))
     prefix = written(prefix, "prefix")
+    dropped(common)
     mixed = prefix.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    prefix = prefix.join(mixed, "token", "left_semi")
-    a = prefix.select("token", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("rest").alias("ra"))
-    b = prefix.select("token", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    # of two sets that reach the threshold, the one with more left of itself has at least 2 * percent / (100 + percent) of it left: others don't meet one another
+    full = F.col("rest") * (100 + percent) >= F.col("n") * 2 * percent
+    prefix = prefix.join(mixed, "token", "left_semi").withColumn("full", full)
+    side = lambda x: prefix.select("token", *[F.col(c).alias(c[0] + x) for c in ("comp", "n", "rest", "full")], F.col("node").alias(x))
+    a, b = side("a").where("fa"), side("b")
     enough = F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    return a.join(b, "token").where("ca <> cb and a > b").where(enough).select("a", "b").distinct()
+    return a.join(b, "token").where("ca <> cb and (not fb or a > b)").where(enough).select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,5 +247,5 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that no kept document of a smaller id makes superfluous, with all columns of docs."""
-    dropped = near_groups(docs, k, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_weft_dropped")).distinct()
-    return docs.join(dropped, docs[f"`{id_col}`"].cast("long") == F.col("_weft_dropped"), "left_anti")
+    gone = near_groups(docs, k, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_weft_dropped")).distinct()
+    return docs.join(gone, docs[f"`{id_col}`"].cast("long") == F.col("_weft_dropped"), "left_anti")

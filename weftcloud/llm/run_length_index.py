@@ -1,6 +1,6 @@
 """Removal of repeated long strings through a run-length compressed Burrows-Wheeler index.
 
-Which strings can repeat is found first, exactly: of the 40-byte grams in each 200-byte window the one of least hash is
+Which strings can repeat is found first, exactly: of the grams (40 bytes) in each 200-byte window the one of least hash is
 the window's anchor, so equal windows have equal anchors, wherever they stand. Consecutive windows with one anchor make a
 segment. Segments are counted by (anchor, hash of the segment) with a map-side combine, so copies fold into a number at once.
 - A segment that occurs twice repeats as a whole.
@@ -8,12 +8,12 @@ segment. Segments are counted by (anchor, hash of the segment) with a map-side c
   transform, of which only runs are kept, with samples (text position, common prefix with the neighbour) at run ends. Inside a run the
   common prefix falls by one for each step in the text, so streaming along the text from sample to sample gives the matching
   statistics of every position; those of 200 and more mark windows.
-- An anchor with more than HOT different segments is too large for one index: its windows are counted by hash
-  instead, combined before the shuffle, with the same result.
+- An anchor with more than HOT different segments is split: the windows of its segments get new anchors of longer grams, and so on
+  up to grams of length - 1 bytes, around which at most 65,536 different segments exist. So every mark comes from an index, and no
+  index takes more segments than that.
 
 Defined cases: null text is empty; texts of fewer than `length` bytes repeat nothing; overlapping occurrences inside one text count;
-repeated rows are occurrences of each other; rows of one doc_id with different texts have separate results; null doc_ids keep
-a result; an empty table gives no rows; other columns are ignored, whatever their names.
+repeated rows are occurrences of each other and each keep a result, as do rows with a null doc_id; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
-from .store import ship, written
+from .store import dropped, ship, written
 from .suffix_array import common_prefixes, sort_suffixes
 
-LENGTH, GRAM, HOT, INDEX_BYTES = 200, 40, 4096, 1 << 20
+LENGTH, GRAM, HOT, INDEX_BYTES, BLOCK = 200, 40, 4096, 1 << 20, 1 << 18
+
+
+def gram_sizes(length: int, gram: int) -> list[int]:
+    """Of the anchors at each further split; the last leaves one byte of a window open."""
+    return sorted({g for g in (gram, length * 3 // 5, length * 9 // 10, length - 1) if gram <= g < length})
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
@@ -38,11 +43,10 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
     n, width = len(buf) - gram + 1, length - gram + 1
     if len(buf) < length:
         return empty
-    prefix = tk.prefix_hash(buf, tk.CODE_EXACT)
-    at = np.arange(n)
-    h = tk.span_hash(prefix, at, at + gram)
-    bits = np.uint64(max(n.bit_length(), 24))  # ties by position; one rule for all blocks under 16 MB
-    value = (h >> bits << bits) | at.astype(np.uint64)
+    grams = tk.Grams(buf, 2 * length)
+    h = grams.every(gram)
+    bits = np.uint64(24)  # the leftmost of those whose leading bits are least
+    value = (h >> bits << bits) | np.arange(n, dtype=np.uint64)
     padded = np.full(-(-n // width) * width, ~np.uint64(0))
     padded[:n] = value
     blocks = padded.reshape(-1, width)
@@ -66,19 +70,31 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
     row = np.searchsorted(off, first, "right") - 1
     # adjacent rows: a run of windows may not pass from one to the next
     end = last + length
-    return row, first - off[row], end - first, h[w[new]], tk.span_hash(prefix, first, end)
+    return row, first - off[row], end - first, h[w[new]], grams.spans(first, end)
+
+
+def pieces(col: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, place in that row, bytes, offsets): blocks of rows, and parts of long rows that share length - 1 bytes."""
+    for i, _, buf, off in tk.text_blocks(col, BLOCK):
+        if len(buf) <= 2 * BLOCK:
+            yield i, 0, buf, off
+        else:  # one row
+            for a in range(0, len(buf) - length + 1, BLOCK):
+                part = buf[a : a + BLOCK + length - 1]
+                yield i, a, part, np.array([0, len(part)])
 
 
-ANCHORS = "id long, th int, at int, size int, ah long, sk long"
+ANCHORS = "id long, th long, at int, size int, ah long, sk long"
 
 
 def anchor_table(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for i, _, buf, off in tk.text_blocks(batch.column(2), 1 << 20):
+            for i, from_, buf, off in pieces(batch.column(2), length):
                 row, at, size, ah, sk = anchors(buf, off, length, gram)
-                yield pa.record_batch([pa.array(ids[i + row]), pa.array(ths[i + row]), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(ah.view(np.int64)), pa.array(sk.view(np.int64))], names=["id", "th", "at", "size", "ah", "sk"])
+                yield pa.record_batch([pa.array(ids[i + row]), pa.array(ths[i + row]), pa.array((from_ + at).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(ah.view(np.int64)), pa.array(sk.view(np.int64))], names=["id", "th", "at", "size", "ah", "sk"])
+        tk.give_back()
 
     return texts.select("id", "th", "text").mapInArrow(run, ANCHORS)
 
@@ -152,7 +168,7 @@ def cut_segments(wanted: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.record_batch([w.field(2)[part], w.field(3)[part], tk.binary_rows(data, np.concatenate([[0], np.cumsum(size[part])]))], names=["ah", "sk", "seg"])
 
     joined = texts.join(lists, ["id", "th"]).select("text", "want").mapInArrow(run, "ah long, sk long, seg binary")
-    return joined.dropDuplicates(["ah", "sk"])
+    return joined
 
 
 MARKS = "ah long, sk long, marks array<int>"
@@ -181,56 +197,43 @@ def indexed_marks(segments: DataFrame, length: int) -> DataFrame:
     return segments.repartition("ah").sortWithinPartitions("ah").mapInArrow(run, MARKS)
 
 
-def counted_marks(segments: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many segments: windows are counted by hash, combined before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = tk.column_bytes(batch.column(2))
-            for i, j in tk.row_blocks(off, 1 << 19):
-                prefix = tk.prefix_hash(buf[off[i] : off[j]], tk.CODE_EXACT)
-                n = np.diff(off[i : j + 1]) - length + 1
-                at = tk.ragged(off[i:j] - off[i], n)
-                row = np.repeat(np.arange(i, j), n)
-                first = at - (off[row] - off[i])
-                yield pa.record_batch([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(tk.span_hash(prefix, at, at + length).view(np.int64))], names=["ah", "sk", "o", "w"])
-
-    windows = written(segments.select("ah", "sk", "seg").mapInArrow(run, "ah long, sk long, o int, w long"), "windows")
-    twice = windows.groupBy("ah", "w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("ah", "w")
-    runs = windows.join(twice, ["ah", "w"]).groupBy("ah", "sk").agg(F.array_sort(F.collect_set("o")).alias("o"))
-    return runs.select("ah", "sk", F.flatten(F.transform("o", lambda o: F.array(o, o + length))).alias("marks"))
-
-
-def repeated_marks(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(id, th, marks): ranges of bytes to remove, per text that has some; texts: (id, th, text)."""
+def repeated_marks(texts: DataFrame, length: int = LENGTH, grams: list[int] | None = None, hot: int = HOT) -> DataFrame:
+    """(id, th, marks): ranges of bytes to remove, per text that has some; texts: (id, th, text), each pair once."""
+    gram, *longer = grams or gram_sizes(length, GRAM)
     table = written(anchor_table(texts, length, gram), "anchors")
-    shared = table.groupBy("ah").count().where("count > 1").select("ah")
-    table = written(table.join(shared, "ah"), "shared")
     order, place = F.xxhash64("id", "th", "at"), F.col("at").cast("long") * 65536 + F.col("size")
     kinds = written(
         table.groupBy("ah", "sk").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", order).alias("id"), F.min_by("th", order).alias("th"), F.min_by(place, order).alias("place")),
         "kinds",
     )
-    several = kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    # one occurrence of each different segment
-    one = kinds.join(several, "ah").select("id", "th", F.shiftright("place", 16).cast("int").alias("at"), F.expr("cast(place & 65535 as int)").alias("size"), "ah", "sk")
-    segments = written(cut_segments(one, texts).join(several, "ah"), "segments")
-    marks = indexed_marks(segments.where(F.col("kinds") <= hot).select("ah", "sk", "seg"), length)
-    marks = marks.union(counted_marks(segments.where(F.col("kinds") > hot), length)).where(F.size("marks") > 0)
+    several = written(kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "several")
+    # one occurrence of each different segment that another may share a window with; of those that occur twice too, as witnesses
+    one = written(kinds.join(several, "ah").select("id", "th", F.shiftright("place", 16).cast("int").alias("at"), F.expr("cast(place & 65535 as int)").alias("size"), "ah", "sk", "n", "kinds"), "one")
+    segments = written(cut_segments(one.select("id", "th", "at", "size", "ah", "sk"), texts), "segments")
+    of_kind = one.select("ah", "sk", "n", "kinds")
+    limit = hot if longer else 1 << 62
+    few, many = (segments.join(of_kind.where(c).select("ah", "sk"), ["ah", "sk"], "left_semi") for c in (F.col("kinds") <= limit, F.col("kinds") > limit))
+    marks = indexed_marks(few, length)
+    if not several.where(F.col("kinds") > limit).isEmpty():
+        split = many.select(F.col("ah").alias("id"), F.col("sk").alias("th"), F.col("seg").alias("text"))
+        marks = marks.union(repeated_marks(written(split, "split"), length, longer, hot).select(F.col("id").alias("ah"), F.col("th").alias("sk"), "marks"))
+    marks = marks.where(F.size("marks") > 0).join(of_kind.where("n > 1").select("ah", "sk"), ["ah", "sk"], "left_anti")
     whole = kinds.where("n > 1").select("ah", "sk", F.lit(None).cast("array<int>").alias("marks"))
-    single = marks.join(kinds.where("n > 1").select("ah", "sk"), ["ah", "sk"], "left_anti")
-    found = table.join(written(whole.union(single), "marks"), ["ah", "sk"])
+    marks = written(whole.unionByName(marks.select("ah", "sk", "marks")), "marks")
+    found = table.join(marks, ["ah", "sk"])
     spans = found.select("id", "th", F.when(F.col("marks").isNull(), F.array(F.col("at"), F.col("at") + F.col("size"))).otherwise(F.transform("marks", lambda m: m + F.col("at"))).alias("m"))
-    return spans.groupBy("id", "th").agg(F.flatten(F.collect_list("m")).alias("marks"))
+    out = written(spans, "spans").groupBy("id", "th").agg(F.flatten(F.collect_list("m")).alias("marks"))
+    dropped(several, one, segments)
+    return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256, for every row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, grams: list[int] | None = None, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256, for every row; grams: anchor sizes of each split, length - 1 the last."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    doc_id = F.col(f"`{id_col}`").cast("long")
-    texts = docs.select(F.coalesce(doc_id, F.lit(-(2**63))).alias("id"), F.hash(text).alias("th"), text.alias("text"))
-    marks = repeated_marks(texts, length, gram, hot)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("id"), F.lit(0).cast("long").alias("th"), text.alias("text"))
+    texts = written(texts, "texts")  # row numbers must not change
+    marks = repeated_marks(texts, length, grams, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,5 +257,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(data.tobytes())
             yield pa.record_batch([batch.column(0), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    out = texts.join(marks, ["id", "th"], "left").select(F.nullif("id", F.lit(-(2**63))).alias("doc_id"), "text", "marks")
+    out = texts.join(marks.select("id", "marks"), "id", "left").select("doc_id", "text", "marks")
     return out.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

@@ -25,6 +25,8 @@ def sort_suffixes(seq: np.ndarray, top: int, depth: int) -> tuple[np.ndarray, li
         rank[order] = ranked
         have, top = have * per, int(ranked[-1]) + 1 if n else 1
         levels.append((have, rank))
+        if top > n:  # no two suffixes are alike any more
+            break
     return order, levels
 
 

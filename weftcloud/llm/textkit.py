@@ -1,4 +1,4 @@
-"""Vectorised text primitives over Arrow string columns: bytes, words, rolling hashes, ragged gathers.
+"""Vectorised text primitives over Arrow string columns: bytes, words, hashes of spans, ragged gathers.
 
 A column of texts is one byte buffer with row offsets. Words are maximal runs of bytes of a class; since every
 class here treats all bytes from 0x80 alike, runs of bytes are runs of code points.
@@ -8,19 +8,20 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_B = int(0x9E3779B97F4A7C15) | 1
-_BINV = pow(_B, -1, 1 << 64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_CODE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-CODE_EXACT = _CODE
-CODE_LOWER = _CODE[LOWER]
+_ODD = U64(0x9E3779B97F4A7C15)
+_SEED = U64(0x5851F42D4C957F2D)
+_KEY = b"weft spans"
+_LONG = 256  # spans longer than this are hashed one by one
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 
 
 def byte_class(excluded: list[tuple[int, int]]) -> np.ndarray:
@@ -87,19 +88,6 @@ def word_spans(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, off)
 
 
-_powers = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n + 1:
-        size = max(n + 1, 1 << 16)
-        for k, base in enumerate((_B, _BINV)):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=U64)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every bit."""
     x = x ^ (x >> U64(30))
@@ -110,25 +98,80 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(buf: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """P with P[e]-P[s] = the polynomial of buf[s:e], shifted by s."""
-    pw, _ = _grown(len(buf))
-    out = np.empty(len(buf) + 1, U64)
-    out[0] = 0
-    np.cumsum(code[buf] * pw[: len(buf)], dtype=U64, out=out[1:])
+def joined_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of what a hashes followed by what b hashes; no algebra between them survives the mixing."""
+    out = a * _ODD
+    out ^= b
+    out ^= out >> U64(29)
+    out *= U64(0xBF58476D1CE4E5B9)
+    out ^= out >> U64(32)
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal spans anywhere."""
-    _, inv = _grown(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * inv[starts] + (ends - starts).astype(U64))
+def eights(buf: np.ndarray) -> np.ndarray:
+    """For each place the eight bytes from there on as one number, zeros past the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, equal for equal spans anywhere: eight bytes at a time, mixed after each; long spans by a keyed digest."""
+    size = ends - starts
+    out = mix(size.astype(U64) ^ _SEED)
+    if not len(starts):
+        return out
+    words, at, row, left = eights(buf), starts, None, size
+    while True:
+        part = words[at] & _MASK[np.minimum(left, 8)]
+        if row is None:
+            out = joined_hash(out, part)
+        else:
+            out[row] = joined_hash(out[row], part)
+        more = (left > 8) if row is not None else (size > 8) & (size <= _LONG)
+        if not more.any():
+            break
+        row = np.flatnonzero(more) if row is None else row[more]
+        at, left = at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > _LONG):
+        out[k] = int.from_bytes(hashlib.blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8, key=_KEY).digest(), "little")
+    return out
 
 
-def word_hashes(buf: np.ndarray, off: np.ndarray, table: np.ndarray, code: np.ndarray = CODE_LOWER):
-    """(hashes, word offsets per row, starts, ends)."""
+class Grams:
+    """Hashes of all spans of a buffer from 8 bytes on: of each power of two by joining two halves, of others by joining two that overlap."""
+
+    def __init__(self, buf: np.ndarray, longest: int):
+        self.size = len(buf)
+        self.level = {3: mix(eights(buf)[: max(len(buf) - 7, 0)] ^ _SEED)}
+        k = 3
+        while 2 << k <= longest:
+            g, half = self.level[k], 1 << k
+            self.level[k + 1] = joined_hash(g[: max(len(g) - half, 0)], g[half:])
+            k += 1
+
+    def every(self, width: int) -> np.ndarray:
+        """The hash of the `width` bytes from each place on."""
+        k = width.bit_length() - 1
+        g, n = self.level[k], max(self.size - width + 1, 0)
+        return joined_hash(g[:n], g[width - (1 << k) : width - (1 << k) + n])
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        out = np.empty(len(starts), U64)
+        power = np.frexp(size.astype(np.float64))[1] - 1
+        for k in np.unique(power):
+            r = power == k
+            g = self.level[int(k)]
+            out[r] = joined_hash(joined_hash(g[starts[r]], g[ends[r] - (1 << int(k))]), size[r].astype(U64))
+        return out
+
+
+def word_hashes(buf: np.ndarray, off: np.ndarray, table: np.ndarray):
+    """(hashes of the words after lower-casing A-Z, word offsets per row, starts, ends)."""
+    buf = LOWER[buf]
     s, e, wo = word_spans(buf, off, table)
-    return span_hash(prefix_hash(buf, code), s, e), wo, s, e
+    return span_hash(buf, s, e), wo, s, e
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -161,6 +204,5 @@ def binary_rows(values: np.ndarray, off: np.ndarray) -> pa.Array:
 def give_back() -> None:
     """Returns freed memory to the system at the end of a task: idle Python workers stay alive beside other stages."""
     pa.default_memory_pool().release_unused()
-    _powers[:] = [np.ones(1, U64), np.ones(1, U64)]
     with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
         ctypes.CDLL(None).malloc_trim(0)

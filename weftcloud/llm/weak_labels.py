@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import textkit as tk
 from .store import ship, written
 
-SAMPLE, SAMPLE_BYTES, BUCKETS = 8000, 1 << 16, 1 << 18
+SAMPLE, SAMPLE_BYTES, BUCKETS = 8000, 1 << 15, 1 << 18
 SMALL = 1_000_000  # labels that are broadcast, at most
 TOXIC_SHARE = 0.02  # of the documents labelled toxic that a listed word occurs in, at least
 NO_WORDS = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -65,21 +65,24 @@ def measure(buf: np.ndarray, off: np.ndarray, lexicon: tuple[np.ndarray, np.ndar
     h, ho, _, _ = tk.word_hashes(buf, off, tk.ALNUM)
     row = np.repeat(np.arange(n), np.diff(ho))
     weight = np.zeros(len(h), np.int64)
+    half = (h >> np.uint64(17) & np.uint64(1)).astype(np.int64)
     if len(lexicon[0]) and len(h):
         at = np.minimum(np.searchsorted(lexicon[0], h), len(lexicon[0]) - 1)
         weight = np.where(lexicon[0][at] == h, lexicon[1][at], 0)
     order = np.lexsort((h, row))
-    h, row, weight = h[order], row[order], weight[order]
+    h, row, weight, half = h[order], row[order], weight[order], half[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     all_hits = np.bincount(row, weights=weight > 0, minlength=n)
     hits = np.bincount(row[new], weights=weight[new], minlength=n)
+    parts = [np.bincount(row[new], weights=weight[new] * (half[new] == k), minlength=n) for k in (0, 1)]
     distinct = np.bincount(row[new], minlength=n)
     plain = np.maximum(np.diff(ho), 1)
     letters = np.maximum(count(_LETTER), 1)
     stats = {
         "upper": count(_UPPER) / letters, "symbol": count(_SYMBOL) / size, "pipe": count(_PIPE) / size, "again": tk.row_sums(again, wo) / np.maximum(words, 1),
         "distinct": distinct / plain, "width": tk.row_sums((e - s).astype(np.int64), wo) / np.maximum(words, 1), "digit": count(_DIGIT) / size, "words": words.astype(float), "hits": hits.astype(float), "rate": all_hits / plain,
+        "one": parts[0], "other": parts[1],
     }
     return Block(stats, h[new], np.concatenate([[0], np.cumsum(distinct)]))
 
@@ -96,8 +99,8 @@ def votes(b: Block) -> np.ndarray:
         pick(s["again"] > 0.2, some & (s["again"] < 0.05)),
         pick((s["distinct"] < 0.45) & (s["words"] >= 30) & (s["words"] < 3000), some & (s["distinct"] > 0.5)),
         pick((s["width"] > 15) | (s["words"] < 1), (s["width"] < 7) & some),
-        pick(s["hits"] < 1, s["hits"] >= 2),
-        pick(s["hits"] < 2, s["hits"] >= 3),
+        pick(s["one"] < 1, s["one"] >= 2),  # either half of the list of toxic words has a labeller, and how dense they are
+        pick(s["other"] < 1, s["other"] >= 2),
         pick(s["rate"] <= 0, s["rate"] > 0.002),
     ]
     return np.stack(out, axis=1)
@@ -111,10 +114,10 @@ def votes_of(keys: np.ndarray, n: int) -> np.ndarray:
     return keys[:, None] // 3 ** np.arange(n)[None, :] % 3
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of class 1 for each pattern, (labellers, 2, 3) vote shares by class), by expectation-maximisation from `start`."""
+def estimate(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of class 1 for each pattern, (labellers, 2, 3) vote shares by class, prior of either class), by expectation-maximisation from `start`."""
     posterior = start.astype(float)
-    shares = np.full((patterns.shape[1], 2, 3), 1 / 3)
+    shares, prior = np.full((patterns.shape[1], 2, 3), 1 / 3), np.full(2, 0.5)
     for _ in range(rounds):
         weight = np.stack([counts * (1 - posterior), counts * posterior])
         prior = np.clip(weight.sum(axis=1) / max(counts.sum(), 1), 1e-4, 1 - 1e-4)
@@ -122,12 +125,17 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds
             for c in range(2):
                 seen = np.bincount(patterns[:, k], weights=weight[c], minlength=3)[:3] + 0.1
                 shares[k, c] = seen / seen.sum()
-        logs = np.log(prior)[:, None] + sum(np.log(shares[k][:, patterns[:, k]]) for k in range(patterns.shape[1]))
-        new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+        new = posteriors(patterns, shares, prior)
         if np.abs(new - posterior).max(initial=0) < 1e-6:
             break
         posterior = new
-    return posterior, shares
+    return posterior, shares, prior
+
+
+def posteriors(votes_: np.ndarray, shares: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Of class 1, by the accuracies that expectation-maximisation has found."""
+    logs = np.log(prior)[:, None] + sum(np.log(shares[k][:, votes_[:, k]]) for k in range(votes_.shape[1]))
+    return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
 def features(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,17 +232,6 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
         labels = F.broadcast(labels)  # else texts are dealt out by doc_id
     joined = texts.join(labels, "doc_id", "left").withColumn("kind", F.when(F.col("toxic") == 1, 0).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 1).otherwise(2))
     lexicon = learn_lexicon(texts.join(labels.where("toxic is not null"), "doc_id").select("text", "toxic"))
-    small = joined.where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES)
-    count = {r.kind: r["count"] for r in small.groupBy("kind").count().collect()}
-    sizes = [count.get(k, 0) for k in range(3)]
-    limit = [int(1_000_000 * x) for x in parts_taken(sizes)]
-    some = small.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(F.array(*map(F.lit, limit)), F.col("kind") + 1)).limit(2 * SAMPLE)
-    sample = some.select("text", "quality", "toxic", "kind").toPandas()
-    column = pa.array(sample["text"].where(sample["text"].notna(), None).tolist(), pa.string())
-    toxic, quality = (sample[c].astype(float).to_numpy() for c in ("toxic", "quality"))
-    kind = sample["kind"].to_numpy(np.int64)
-    weight = (np.array(sizes) / np.maximum(np.bincount(kind, minlength=3), 1))[kind]
-    weight /= max(weight.mean(), 1e-9) if len(weight) else 1
     shipped = spark.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,29 +247,48 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     given = [np.where(counts[c].isna(), 2, counts[c].fillna(0).astype(int).clip(0, 1)).astype(np.int64) for c in ("quality", "toxic")]
     good = np.column_stack([patterns[:, :QUALITY], given[0]])
     bad = np.column_stack([patterns[:, QUALITY:], given[1]])
-    _, good_shares = estimate(good, n, (good != 0).all(axis=1))
-    _, bad_shares = estimate(bad, n, (bad == 1).any(axis=1))
+    _, *good_model = estimate(good, n, (good != 0).all(axis=1))
+    _, *bad_model = estimate(bad, n, (bad == 1).any(axis=1))
     if len(lexicon[0]) == 0:
-        bad_shares[:] = 1 / 3
-    targets, parts = ([], []), []
-    for i, j, buf, off in tk.text_blocks(column, 1 << 20):
-        b = measure(buf, off, lexicon)
-        v = votes(b)
-        for into, mine, shares, label in ((targets[0], v[:, :QUALITY], good_shares, quality[i:j]), (targets[1], v[:, QUALITY:], bad_shares, toxic[i:j])):
-            all_ = np.column_stack([mine, np.where(np.isnan(label), 2, np.nan_to_num(label)).astype(np.int64)])
-            logs = sum(np.log(shares[k][:, all_[:, k]]) for k in range(all_.shape[1]))
-            into.append(1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500))))
-        parts.append(features(b))
-    if not parts:
-        nothing = np.zeros(BUCKETS + 256)
-        return Scorer(lexicon, nothing, nothing - 1, {})
-    index, value = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
-    w_good = train(index, value, off, np.concatenate(targets[0]), weight)
-    w_toxic = train(index, value, off, np.concatenate(targets[1]), weight) if len(lexicon[0]) else np.zeros(BUCKETS + 256)
+        bad_model[0][:] = 1 / 3
+    small = joined.where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES)
+    count = {r.kind: r["count"] for r in small.groupBy("kind").count().collect()}
+    sizes = [count.get(k, 0) for k in range(3)]
+    limit = [int(1_000_000 * x) for x in parts_taken(sizes)]
+    place = F.xxhash64("doc_id")
+    some = small.where(F.pmod(place, F.lit(1_000_000)) < F.element_at(F.array(*map(F.lit, limit)), F.col("kind") + 1)).orderBy(place, "doc_id", "text").limit(2 * SAMPLE)
+    models = spark.sparkContext.broadcast((good_model, bad_model))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One task: the sample is bounded and stays off the driver."""
+        targets, parts, kinds = ([], []), [], []
+        for batch in batches:
+            labels_ = [np.where(np.isnan(x), 2, np.nan_to_num(x)).astype(np.int64).clip(0, 2) for x in (batch.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in (1, 2))]
+            kinds.append(batch.column(3).to_numpy())
+            for i, j, buf, off in tk.text_blocks(batch.column(0), 1 << 20):
+                b = measure(buf, off, shipped.value)
+                v = votes(b)
+                for into, mine, model, label in zip(targets, (v[:, :QUALITY], v[:, QUALITY:]), models.value, labels_, strict=True):
+                    into.append(posteriors(np.column_stack([mine, label[i:j]]), *model))
+                parts.append(features(b))
+        if not parts:
+            return
+        kind = np.concatenate(kinds)
+        weight = (np.array(sizes) / np.maximum(np.bincount(kind, minlength=3), 1))[kind]
+        weight = weight / weight.mean()
+        index, value = np.concatenate([p[0] for p in parts]).astype(np.int32), np.concatenate([p[1] for p in parts])
+        off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
+        weights = [train(index, value, off, np.concatenate(t), weight).astype(np.float32).tobytes() for t in targets]
+        yield pa.record_batch([pa.array([x]) for x in weights], names=["good", "toxic"])
+        tk.give_back()
+
+    found = some.select("text", "quality", "toxic", "kind").mapInArrow(learn, "good binary, toxic binary").collect()
+    nothing = np.zeros(BUCKETS + 256, np.float32)
+    w_good, w_toxic = (np.frombuffer(bytes(x), np.float32).copy() for x in found[0]) if found else (nothing, nothing - 1)
     if not len(lexicon[0]):
+        w_toxic = nothing.copy()
         w_toxic[:256] = -1.0
-    return Scorer(lexicon, w_good.astype(np.float32), w_toxic.astype(np.float32), {"quality": good_shares.tolist(), "toxic": bad_shares.tolist()})
+    return Scorer(lexicon, w_good, w_toxic, {"quality": good_model[0].tolist(), "toxic": bad_model[0].tolist()})
 
 
 def score_documents(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
