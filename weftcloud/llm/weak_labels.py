@@ -30,6 +30,7 @@ from .store import ship, written
 
 SAMPLE, SAMPLE_BYTES, BUCKETS = 8000, 1 << 15, 1 << 18
 SMALL = 1_000_000  # labels that are broadcast, at most
+GIVEN = 0.98  # accuracy of given labels
 TOXIC_SHARE = 0.02  # of the documents labelled toxic that a listed word occurs in, at least
 NO_WORDS = np.empty(0, np.uint64), np.empty(0, np.int64)
 QUALITY, TOXIC = 6, 3  # labellers of either question, besides given labels
@@ -114,17 +115,27 @@ def votes_of(keys: np.ndarray, n: int) -> np.ndarray:
     return keys[:, None] // 3 ** np.arange(n)[None, :] % 3
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of class 1 for each pattern, (labellers, 2, 3) vote shares by class, prior of either class), by expectation-maximisation from `start`."""
+def estimate(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 50, given: float | None = None, even: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of class 1 for each pattern, (labellers, 2, 3) vote shares by class, prior of either class), by expectation-maximisation from `start`.
+
+    given: accuracy that the last labeller, given labels, is held to; how often it votes is estimated. even: both classes have the
+    prior 1/2 throughout, so that a rare class isn't given up for few votes.
+    """
     posterior = start.astype(float)
     shares, prior = np.full((patterns.shape[1], 2, 3), 1 / 3), np.full(2, 0.5)
     for _ in range(rounds):
         weight = np.stack([counts * (1 - posterior), counts * posterior])
-        prior = np.clip(weight.sum(axis=1) / max(counts.sum(), 1), 1e-4, 1 - 1e-4)
+        if not even:
+            prior = np.clip(weight.sum(axis=1) / max(counts.sum(), 1), 1e-4, 1 - 1e-4)
         for k in range(patterns.shape[1]):
             for c in range(2):
                 seen = np.bincount(patterns[:, k], weights=weight[c], minlength=3)[:3] + 0.1
                 shares[k, c] = seen / seen.sum()
+        if given is not None:
+            for c in range(2):
+                some = shares[-1, c, :2].sum()
+                shares[-1, c, :2] = some * (1 - given), some * (1 - given)
+                shares[-1, c, c] = some * given
         new = posteriors(patterns, shares, prior)
         if np.abs(new - posterior).max(initial=0) < 1e-6:
             break
@@ -247,8 +258,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     given = [np.where(counts[c].isna(), 2, counts[c].fillna(0).astype(int).clip(0, 1)).astype(np.int64) for c in ("quality", "toxic")]
     good = np.column_stack([patterns[:, :QUALITY], given[0]])
     bad = np.column_stack([patterns[:, QUALITY:], given[1]])
-    _, *good_model = estimate(good, n, (good != 0).all(axis=1))
-    _, *bad_model = estimate(bad, n, (bad == 1).any(axis=1))
+    _, *good_model = estimate(good, n, (good != 0).all(axis=1), given=GIVEN, even=True)
+    _, *bad_model = estimate(bad, n, (bad == 1).any(axis=1), given=GIVEN, even=True)
     if len(lexicon[0]) == 0:
         bad_model[0][:] = 1 / 3
     small = joined.where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES)
