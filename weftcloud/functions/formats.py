@@ -61,10 +61,10 @@ def q8_decode(q: Column, origin: Column, size: float) -> Column:
 
 
 def heat(t: Column) -> Triple:
-    """A blue to red ramp of a value in [0, 1]."""
+    """A blue to green to red ramp of a value in [0, 1], with plateaus: each colour falls off at four times the distance from its centre."""
     inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    part = lambda centre: half_up(F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(inside - centre) * 2.0) * 255.0).cast("int")
-    return part(1.0), part(0.5), part(0.0)
+    part = lambda quarters: half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.5) - F.abs(inside * 4.0 - quarters))) * 255.0).cast("int")
+    return part(3.0), part(2.0), part(1.0)
 
 
 def shade(value: Column, most: Column) -> Column:

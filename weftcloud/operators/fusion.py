@@ -5,6 +5,8 @@ The key of a voxel is (session, chunk, voxel): one that straddles a chunk face i
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import cell, half_up, to_world
@@ -21,18 +23,29 @@ def placed(points: DataFrame, chunk: float, fuse: float, pose: str = "pose") ->
     return world.withColumns({f"{k}{a}": cell(F.col(a), size) for k, size in (("c", chunk), ("v", fuse)) for a in "xyz"})
 
 
+#: sequence and idx as one number, which hash aggregation can keep; a struct would make it sort
+STEP = Decimal(10) ** 19
+
+
+def touch(sequence: str = "sequence", idx: str = "idx") -> Column:
+    return (F.col(sequence).cast("decimal(19,0)") * F.lit(STEP) + F.col(idx).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    idx = (F.col("first") - F.col("first_seq").cast("decimal(19,0)") * F.lit(STEP)).cast("bigint")
+    return rows.select(*VOXEL, *SUMS, "n", "first_seq", idx.alias("first_idx"), "last_seq")
+
+
 def fuse(points: DataFrame) -> DataFrame:
-    """Sums, hits, and first and last touch of each voxel of placed points (sequence and idx order them)."""
-    return points.groupBy(*VOXEL).agg(
-        *[F.sum(c).alias(s) for s, c in SUMS.items()], F.count(F.lit(1)).alias("n"), F.min(F.struct("sequence", "idx")).alias("first"), F.max("sequence").alias("last_seq")
-    ).select(*VOXEL, *SUMS, "n", F.col("first.sequence").alias("first_seq"), F.col("first.idx").alias("first_idx"), "last_seq")
+    """Sums, hits, and first and last touch of each voxel of placed points (sequence and idx, both 0 or more, order them)."""
+    return _first(points.groupBy(*VOXEL).agg(*[F.sum(c).alias(s) for s, c in SUMS.items()], F.count(F.lit(1)).alias("n"), F.min("sequence").alias("first_seq"), F.min(touch()).alias("first"), F.max("sequence").alias("last_seq")))
 
 
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     """Fused tables of different batches as one; sums are associative."""
-    return a.select(*VOXEL, *SUMS, "n", "first_seq", "first_idx", "last_seq").unionByName(b.select(*VOXEL, *SUMS, "n", "first_seq", "first_idx", "last_seq")).groupBy(*VOXEL).agg(
-        *[F.sum(s).alias(s) for s in SUMS], F.sum("n").alias("n"), F.min(F.struct("first_seq", "first_idx")).alias("first"), F.max("last_seq").alias("last_seq")
-    ).select(*VOXEL, *SUMS, "n", F.col("first.first_seq").alias("first_seq"), F.col("first.first_idx").alias("first_idx"), "last_seq")
+    cols = [*VOXEL, *SUMS, "n", "first_seq", "first_idx", "last_seq"]
+    both = a.select(*cols).unionByName(b.select(*cols))
+    return _first(both.groupBy(*VOXEL).agg(*[F.sum(s).alias(s) for s in SUMS], F.sum("n").alias("n"), F.min(touch("first_seq", "first_idx")).alias("first"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq")))
 
 
 def with_ordinal(voxels: DataFrame) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import box
 from ..functions.views import Camera, chunk_level, sees_point
 from .fusion import CHUNK
+from .sessions import first_reason
 
 HELD = "viewer_id string, session_id string, cx bigint, cy bigint, cz bigint, level int, version bigint, count bigint, keyframe_version bigint"
 
@@ -109,9 +113,57 @@ def closed_by_backlog(sent: DataFrame, order: str, most: int = 32 << 20) -> Data
 
 
 def throttled(views: DataFrame, ms: str = "at_ms", gap: int = 100) -> DataFrame:
-    """View messages that come at least `gap` after the one before."""
+    """View messages that come at least `gap` after the last one that was accepted.
+
+    After a pause of `gap` a message is accepted whatever came before, so a viewer's messages fall into bursts that are judged apart.
+    """
     w = Window.partitionBy("viewer_id").orderBy(ms)
-    return views.withColumn("_g", F.col(ms) - F.lag(ms).over(w)).where(F.col("_g").isNull() | (F.col("_g") >= gap)).drop("_g")
+    pause = (F.col(ms) - F.lag(ms).over(w) >= gap).cast("int")
+    bursts = views.withColumn("_p", F.coalesce(pause, F.lit(0))).withColumn("_burst", F.sum("_p").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_p")
+
+    def judge(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(ms, kind="stable")
+        at, keep, k = part[ms].to_numpy(), [], 0
+        while k < len(at):
+            keep.append(k)
+            k = max(int(np.searchsorted(at, at[k] + gap)), k + 1)
+        return part.iloc[keep]
+
+    return bursts.groupBy("viewer_id", "_burst").applyInPandas(judge, bursts.schema).drop("_burst")
+
+
+def view_reason() -> Column:
+    """Why a viewer_view message is refused: over position, forward, up, viewport_px (arrays), fov_y_rad, near_m, far_m, min_hits, min_ratio, overlay_max_points."""
+    ok = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    vector = lambda c, n: (F.size(c) == n) & F.forall(c, ok)
+    some = lambda c: F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda t, v: t + v * v)) >= 1e-9
+    whole = lambda c: c == F.floor(c)
+    hits, ratio, cap = (F.coalesce(F.col(c).cast("double"), F.lit(d)) for c, d in (("min_hits", 1.0), ("min_ratio", 0.0), ("overlay_max_points", 0.0)))
+    return first_reason(
+        ("bad vectors", vector(F.col("position"), 3) & vector(F.col("forward"), 3) & vector(F.col("up"), 3)), ("bad viewport", vector(F.col("viewport_px"), 2)),
+        ("bad numbers", ok(F.col("fov_y_rad")) & ok(F.col("near_m")) & ok(F.col("far_m"))), ("zero vectors", some("forward") & some("up")),
+        ("out of bounds", (F.get("viewport_px", F.lit(0)) > 0) & (F.get("viewport_px", F.lit(1)) > 0) & (F.col("fov_y_rad") > 0) & (F.col("fov_y_rad") < math.pi) & (F.col("near_m") > 0) & (F.col("far_m") > F.col("near_m"))),
+        ("bad overlay cap", ok(cap) & whole(cap) & cap.between(0, 10_000_000)), ("bad hits", ok(hits) & whole(hits) & hits.between(1, 1_000_000)), ("bad ratio", ok(ratio) & ratio.between(0, 1)),
+    )
+
+
+def sweep(dirty: DataFrame, budget: int = 8) -> DataFrame:
+    """Adds tick: in which step of a checkpoint each dirty chunk is written, `budget` a step over all sessions, a session's newest first.
+
+    Places inside a session come from a window of its own; sessions have one row each before they are put in a row.
+    """
+    inside = dirty.withColumn("_k", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("last_seq"), "cx", "cy", "cz")) - 1)
+    sizes = dirty.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("session_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return inside.join(before, "session_id").withColumn("tick", F.floor((F.col("_before") + F.col("_k")) / budget).cast("bigint")).drop("_k", "_before")
+
+
+def log_summary(batches: DataFrame, dirty: DataFrame, swept: int, budget: int = 8, stride: int = 18) -> DataFrame:
+    """Of each session: log bytes, dirty chunks, and how many of them are still to be written after `swept` steps."""
+    a = batches.groupBy("session_id").agg(F.sum(F.col("point_count") * stride).alias("log_bytes"), F.max("sequence").alias("last_sequence"))
+    b = sweep(dirty, budget).groupBy("session_id").agg(F.count(F.lit(1)).alias("dirty_chunks"), F.sum((F.col("tick") >= swept).cast("bigint")).alias("pending"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return a.join(b, "session_id", "left").select("session_id", "log_bytes", "last_sequence", zero("dirty_chunks"), zero("pending"))
 
 
 def percentiles(rows: DataFrame, value: str, shares: Sequence[float] = (0.5, 0.9)) -> DataFrame:

@@ -54,11 +54,29 @@ def batch_reason(max_points: int = MAX_POINTS) -> Column:
     )
 
 
-def session_reason() -> Column:
-    """Over create_session messages: version, identifiers, units, start time."""
+def session_reason(known: Column | None = None) -> Column:
+    """Over create_session messages, in the order in which a server looks; known: whether there is a session of that id already."""
+    return first_reason(
+        ("unsupported protocol version", F.col("protocol_version") == 1), ("units must be meters", F.col("units") == "meters"), ("bad session id", identifier_ok(F.col("session_id"))),
+        ("bad publisher id", identifier_ok(F.col("publisher_id"))), ("bad frame id", text_ok(F.col("frame_id"), 128)), ("bad start time", timestamp_ok(F.col("started_at"))),
+        ("session exists", F.lit(True) if known is None else ~known),
+    )
+
+
+def resume_reason() -> Column:
+    """Over resume_session messages joined with their session: owner (null: no such session) and last_sequence."""
+    top = F.col("last_client_sequence").cast("double")
     return first_reason(
         ("unsupported protocol version", F.col("protocol_version") == 1), ("bad session id", identifier_ok(F.col("session_id"))), ("bad publisher id", identifier_ok(F.col("publisher_id"))),
-        ("bad frame id", text_ok(F.col("frame_id"))), ("units must be meters", F.col("units") == "meters"), ("bad start time", timestamp_ok(F.col("started_at"))),
+        ("bad last sequence", (top >= 0) & (top == F.floor(top))), ("unknown session", F.col("owner").isNotNull()), ("other publisher", F.col("owner") == F.col("publisher_id")), ("ahead of the server", top <= F.col("last_sequence")),
+    )
+
+
+def close_reason() -> Column:
+    """Over close_session messages joined with their session: owner (null: no such session), closed and last_sequence."""
+    return first_reason(
+        ("unknown session", F.col("owner").isNotNull()), ("other publisher", F.col("owner") == F.col("publisher_id")), ("closed", ~F.col("closed")),
+        ("bad sequence", F.col("sequence") > 0), ("out of sequence", F.col("sequence") == F.col("last_sequence") + 1),
     )
 
 

@@ -358,18 +358,18 @@ def fov_sql() -> str:
     local = fx.rotate_sql("", ("dx", "dy", "dz"), back=True)
     steps = "(VALUES (CAST(0.0 AS DOUBLE)), (CAST(0.5 AS DOUBLE)), (CAST(1.0 AS DOUBLE)))"
     inside = " AND ".join(f"t{a} BETWEEN c{a} * CAST(16.0 AS DOUBLE) AND c{a} * CAST(16.0 AS DOUBLE) + CAST(16.0 AS DOUBLE)" for a in "xyz")
-    return f"""picked AS (SELECT * FROM placed WHERE sequence % 40 = 0), touched AS (SELECT DISTINCT session_id, cx, cy, cz, sequence FROM picked), born AS (SELECT session_id, cx, cy, cz, min(sequence) AS born FROM touched GROUP BY ALL),
-pairs AS (SELECT b.session_id, cx, cy, cz, s.sequence, tx, ty, tz, qx, qy, qz, qw FROM born b JOIN (SELECT DISTINCT session_id, sequence FROM picked) s ON s.session_id = b.session_id AND s.sequence >= born JOIN poses ON pose_sequence = s.sequence),
-lattice AS (SELECT *, cx * CAST(16.0 AS DOUBLE) + i.i * CAST(16.0 AS DOUBLE) - tx AS dx, cy * CAST(16.0 AS DOUBLE) + j.j * CAST(16.0 AS DOUBLE) - ty AS dy, cz * CAST(16.0 AS DOUBLE) + k.k * CAST(16.0 AS DOUBLE) - tz AS dz FROM pairs, {steps} i(i), {steps} j(j), {steps} k(k)),
+    return f"""touched AS (SELECT DISTINCT session_id, cx, cy, cz, sequence FROM placed), born AS (SELECT session_id, cx, cy, cz, min(sequence) AS born FROM touched GROUP BY ALL),
+stood AS (SELECT DISTINCT session_id, sequence, tx, ty, tz, qx, qy, qz, qw FROM placed JOIN poses USING (pose_sequence)), kinds AS (SELECT DISTINCT session_id, tx, ty, tz, qx, qy, qz, qw FROM stood),
+lattice AS (SELECT *, cx * CAST(16.0 AS DOUBLE) + i.i * CAST(16.0 AS DOUBLE) - tx AS dx, cy * CAST(16.0 AS DOUBLE) + j.j * CAST(16.0 AS DOUBLE) - ty AS dy, cz * CAST(16.0 AS DOUBLE) + k.k * CAST(16.0 AS DOUBLE) - tz AS dz FROM born JOIN kinds USING (session_id), {steps} i(i), {steps} j(j), {steps} k(k)),
 local_z AS (SELECT *, dx * dx + dy * dy + dz * dz AS r2, {local[2]} AS lz FROM lattice),
-seen AS (SELECT DISTINCT session_id, cx, cy, cz, sequence FROM local_z WHERE ({inside}) OR (r2 <= 900 AND lz >= sqrt(r2) * {_num(_LO)} AND lz <= sqrt(r2) * {_num(_HI)}) UNION SELECT session_id, cx, cy, cz, sequence FROM touched)
+views AS (SELECT DISTINCT session_id, cx, cy, cz, born, tx, ty, tz, qx, qy, qz, qw FROM local_z WHERE ({inside}) OR (r2 <= 900 AND lz >= sqrt(r2) * {_num(_LO)} AND lz <= sqrt(r2) * {_num(_HI)})),
+seen AS (SELECT session_id, cx, cy, cz, sequence FROM views JOIN stood USING (session_id, tx, ty, tz, qx, qy, qz, qw) WHERE sequence >= born UNION SELECT session_id, cx, cy, cz, sequence FROM touched)
 """
 
 
 def qualifying(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    some = placed(spark, d).where("sequence % 40 = 0")
-    b = fx.batches(spark, d).where("sequence % 40 = 0")
-    return some, observation.qualifying(b, fusion.touched(some), CHUNK, _FOV)
+    every = placed(spark, d)
+    return every, observation.qualifying(fx.batches(spark, d), fusion.touched(every), CHUNK, _FOV)
 
 
 @query("opportunities", CTES + ", " + fov_sql() + f"SELECT {CHK}, count(*) AS opportunities FROM seen GROUP BY {CHK}")
@@ -377,7 +377,7 @@ def opportunities(spark, d):
     return observation.opportunities(qualifying(spark, d)[1])
 
 
-@query("voxel-baseline", CTES + ", " + fov_sql() + f", run AS (SELECT *, count(*) OVER (PARTITION BY {CHK} ORDER BY sequence) AS so_far, count(*) OVER (PARTITION BY {CHK}) AS opportunities FROM seen), vox AS (SELECT {VOX}, count(*) AS n, min(sequence) AS first_seq FROM picked GROUP BY ALL) SELECT {VOX}, n, so_far AS o0, opportunities FROM vox JOIN run USING (session_id, cx, cy, cz) WHERE run.sequence = first_seq AND n / CAST(greatest(opportunities - so_far + 1, 1) AS DOUBLE) >= 0.1")
+@query("voxel-baseline", CTES + ", " + fov_sql() + f", run AS (SELECT *, count(*) OVER (PARTITION BY {CHK} ORDER BY sequence) AS so_far, count(*) OVER (PARTITION BY {CHK}) AS opportunities FROM seen), vox AS (SELECT {VOX}, count(*) AS n, min(sequence) AS first_seq FROM placed GROUP BY ALL) SELECT {VOX}, n, so_far AS o0, opportunities FROM vox JOIN run USING (session_id, cx, cy, cz) WHERE run.sequence = first_seq AND n / CAST(greatest(opportunities - so_far + 1, 1) AS DOUBLE) >= 0.1")
 def voxel_baseline(spark, d):
     some, rows = qualifying(spark, d)
     return fusion.observed(observation.with_opportunities(fusion.fuse(some), rows), 1, 0.1).select(*fusion.VOXEL, "n", "o0", "opportunities")
@@ -438,10 +438,13 @@ def identifier_check(spark, d):
     return fx.table(spark, d, "customer").select("c_custkey", sessions.identifier_ok(name).alias("ok"))
 
 
-@query("message-kind", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'invalid' END AS kind FROM events")
+@query("message-kind", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_type WHEN 2 THEN 'batch' ELSE 'invalid' END AS kind FROM events")
 def message_kind(spark, d):
-    text = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("event_type").alias("type")))).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise(F.lit("not json"))
-    return fx.table(spark, d, "events").select("event_id", batch_log.message_kind(text.cast("binary")).alias("kind"))
+    """Control messages with a type, with a number as type and without; frames whose header is JSON and isn't; and no JSON."""
+    k, header = F.col("event_id") % 6, F.when(F.col("event_id") % 6 == 2, F.lit('{"sequence":1}')).otherwise(F.lit("{sequence"))
+    text = F.when(k == 0, F.to_json(F.struct(F.col("event_type").alias("type")))).when(k == 1, F.col("props")).when(k == 3, F.to_json(F.struct(F.col("event_id").alias("type")))).otherwise(F.lit("not json"))
+    framed = batch_log.frame_of(header, F.col("props").cast("binary"))
+    return fx.table(spark, d, "events").select("event_id", batch_log.message_kind(F.when(k.isin(2, 5), framed).otherwise(text.cast("binary"))).alias("kind"))
 
 
 @query("binding-conflicts", "SELECT 'session' AS scope, CAST(l_suppkey AS VARCHAR) AS name, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_returnflag) > 1 UNION ALL SELECT 'connection', CAST(l_partkey AS VARCHAR), count(DISTINCT l_suppkey) FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1")
@@ -527,7 +530,8 @@ def latency_percentiles(spark, d):
     return serving.percentiles(fx.table(spark, d, "events"), "value")
 
 
-@query("view-throttle", "SELECT event_id FROM (SELECT event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events) WHERE g IS NULL OR g >= 100")
+@query("view-throttle", """WITH RECURSIVE acc AS (SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id
+ UNION ALL SELECT a.user_id, min(e.event_id) FROM acc a JOIN events e ON e.user_id = a.user_id AND e.event_id >= a.event_id + 100 GROUP BY a.user_id, a.event_id) SELECT event_id FROM acc""")
 def view_throttle(spark, d):
     return serving.throttled(fx.table(spark, d, "events").withColumn("viewer_id", F.col("user_id")), "event_id", 100).select("event_id")
 
@@ -572,8 +576,7 @@ def packet_decode(spark, d):
 @query("log-scan")
 def log_scan(spark, d):
     """Bronze batches packed, framed, and read back from their frames."""
-    first = fx.points(spark, d).where("sequence % 50 = 0")
-    packed = formats.packed(first, ("session_id", "sequence"), "xyzi_q4_v2")
+    packed = formats.packed(fx.points(spark, d), ("session_id", "sequence"), "xyzi_q4_v2")
     header = F.to_json(F.struct("session_id", "sequence", F.col("sequence").alias("pose_sequence"), "point_count", F.lit("xyzi_q4_v2").alias("point_format")))
     framed = packed.select(F.concat_ws("/", "session_id", "sequence").alias("path"), batch_log.frame_of(header, F.col("payload")).alias("content"))
     return formats.decode_batches(batch_log.bronze(batch_log.split_frames(framed)))
@@ -594,13 +597,13 @@ def aligned_loop(spark, d):
 # further listings, joins and set operations of the inventory
 
 
-@query("create-session-rules", "SELECT c_custkey, CASE WHEN c_nationkey % 4 = 0 THEN 'unsupported protocol version' WHEN c_custkey % 5 = 0 THEN 'bad session id' WHEN c_mktsegment = 'BUILDING' THEN 'units must be meters' ELSE 'ok' END AS reason FROM customer")
+@query("create-session-rules", "SELECT c_custkey, CASE WHEN c_nationkey % 4 = 0 THEN 'unsupported protocol version' WHEN c_mktsegment = 'BUILDING' THEN 'units must be meters' WHEN c_custkey % 5 = 0 THEN 'bad session id' WHEN c_custkey % 7 = 0 THEN 'bad frame id' WHEN c_custkey % 11 = 0 THEN 'session exists' ELSE 'ok' END AS reason FROM customer")
 def create_session_rules(spark, d):
     c = fx.table(spark, d, "customer").withColumns({
-        "protocol_version": F.when(F.col("c_nationkey") % 4 == 0, 2).otherwise(1), "session_id": F.when(F.col("c_custkey") % 5 == 0, "-bad").otherwise("s1"), "publisher_id": F.lit("p.1"), "frame_id": F.lit("map"),
+        "protocol_version": F.when(F.col("c_nationkey") % 4 == 0, 2).otherwise(1), "session_id": F.when(F.col("c_custkey") % 5 == 0, "-bad").otherwise("s1"), "publisher_id": F.lit("p.1"), "frame_id": F.when(F.col("c_custkey") % 7 == 0, F.repeat(F.lit("m"), 129)).otherwise(F.repeat(F.lit("m"), 128)),
         "units": F.when(F.col("c_mktsegment") == "BUILDING", "feet").otherwise("meters"), "started_at": F.lit("2026-07-10T00:00:00Z"),
     })
-    return c.select("c_custkey", F.coalesce(sessions.session_reason(), F.lit("ok")).alias("reason"))
+    return c.select("c_custkey", F.coalesce(sessions.session_reason(F.col("c_custkey") % 11 == 0), F.lit("ok")).alias("reason"))
 
 
 @query("view-counter-changes", CTES + ", " + fov_sql() + f", a AS (SELECT {CHK}, sequence FROM seen WHERE sequence % 3 <> 0), b AS (SELECT {CHK}, sequence FROM seen WHERE sequence % 2 = 0), ch AS (SELECT {CHK}, -1 AS c FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT {CHK}, 1 FROM (SELECT * FROM b EXCEPT SELECT * FROM a)), s AS (SELECT {CHK}, CAST(sum(c) AS BIGINT) AS c FROM ch GROUP BY {CHK}), o AS (SELECT {CHK}, count(*) AS n FROM a GROUP BY {CHK}) SELECT {CHK}, greatest(n + coalesce(c, 0), 0) AS opportunities FROM o LEFT JOIN s USING (session_id, cx, cy, cz)")
@@ -655,3 +658,6 @@ def sessions_listing(spark, d):
     from ..operators.storage import sessions_listing as listing
 
     return listing(fx.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("session_id"), F.col("o_orderdate").alias("started_at")))
+
+
+from . import further  # noqa: E402, F401  registers its queries

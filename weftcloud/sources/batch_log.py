@@ -93,13 +93,16 @@ def u32(data: Column, at: int) -> Column:
 
 
 def message_kind(message: Column) -> Column:
-    """batch for an intact frame, the type of a JSON control message, else invalid."""
+    """batch for an intact frame whose header is JSON, the type (a string) of a JSON control message, else invalid."""
     size = F.octet_length(message)
-    kind = F.get_json_object(message.cast("string"), "$.type")
+    value = F.try_parse_json(message.cast("string"))
+    kind = F.when(F.schema_of_variant(F.try_variant_get(value, "$.type", "variant")) == "STRING", F.try_variant_get(value, "$.type", "string"))
     body = F.substring(message, HEAD_BYTES + 1, 2**31 - 1)
+    header = F.substring(body, F.lit(1), u32(message, 4).cast("int"))
     is_frame = (size >= HEAD_BYTES) & (u32(message, 0) == MAGIC)
     whole = (u32(message, 4) + u32(message, 8) + HEAD_BYTES == size) & (F.crc32(body) == u32(message, 12))
-    return F.when(is_frame, F.when(whole, "batch").otherwise("invalid")).otherwise(F.coalesce(kind, F.lit("invalid")))
+    frame = F.when(whole, F.when(F.try_parse_json(header.cast("string")).isNotNull(), "batch")).otherwise(F.lit(None))
+    return F.coalesce(F.when(is_frame, frame).otherwise(kind), F.lit("invalid"))
 
 
 CONTROL = {
