@@ -308,3 +308,31 @@ def test_follower_equals_one_shot(spark, tmp_path):
     key = lambda t: sorted((r.kf, r.sequence) for r in t.collect())
     assert key(f.result().keyframes) == key(whole)
     assert loops == f.result().loops.count() and f.result().poses.count() == 25
+
+
+@pytest.mark.parametrize("span", [2, 1 << 16])
+def test_counted_opportunities(spark, monkeypatch, span):
+    """Numbers without rows equal the rows' numbers, for moving and standing sensors and a session with a view of its own."""
+    monkeypatch.setattr(observation, "SPAN", span)
+    still = [("s", k, (0.0 if k % 3 else 40.0), 0.0) for k in range(1, 13)] + [("t", k, 2.0 * k, 0.0) for k in range(1, 9)]
+    b = spark.createDataFrame([(s, k, (x, y, 0.0, 0.0, 0.0, 0.0, 1.0)) for s, k, x, y in still], f"session_id string, sequence bigint, pose {geo.POSE}")
+    touched = spark.createDataFrame([(s, k % 4 * 3, k % 2, 0, k) for s, k, _, _ in still] + [("s", 90, 0, 0, 5)], "session_id string, cx bigint, cy bigint, cz bigint, sequence bigint")
+    own = spark.createDataFrame([("t", '{"sensor_fov":{"max_range_m":6}}')], "session_id string, metadata string")
+    view = observation.FieldOfView(-15.0, 15.0, 20.0, 2.0)
+    for sessions_ in (None, own):
+        want = observation.opportunities(observation.qualifying(b, touched, 1.0, view, sessions_))
+        got = observation.counted(b, touched, 1.0, view, sessions_)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 4
+
+
+def test_elevation_bounds_beyond_the_zenith(spark):
+    """Past 90 degrees a bound holds for all: a chunk straight above is in view."""
+    row = spark.createDataFrame([((0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0),)], f"pose {geo.POSE}")
+    above = (F.lit(0), F.lit(0), F.lit(5))
+    sees = lambda lo, hi: row.select(observation.sees_chunk(F.col("pose"), above, 1.0, observation.FieldOfView(lo, hi, 30.0, 2.0))).first()[0]
+    assert sees(-20.0, 95.0) and not sees(-20.0, 40.0)
+
+
+def test_throttle_compares_with_the_last_accepted(spark):
+    rows = spark.createDataFrame([("v", t) for t in (0, 60, 120, 180, 240, 500, 550)], "viewer_id string, at_ms bigint")
+    assert sorted(r.at_ms for r in serving.throttled(rows).collect()) == [0, 120, 240, 500]

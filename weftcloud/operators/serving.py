@@ -115,11 +115,12 @@ def closed_by_backlog(sent: DataFrame, order: str, most: int = 32 << 20) -> Data
 def throttled(views: DataFrame, ms: str = "at_ms", gap: int = 100) -> DataFrame:
     """View messages that come at least `gap` after the last one that was accepted.
 
-    After a pause of `gap` a message is accepted whatever came before, so a viewer's messages fall into bursts that are judged apart.
+    After a pause of `gap` a message is accepted whatever came before, so a viewer's messages fall into bursts that are judged apart,
+    many short ones together.
     """
     w = Window.partitionBy("viewer_id").orderBy(ms)
     pause = (F.col(ms) - F.lag(ms).over(w) >= gap).cast("int")
-    bursts = views.withColumn("_p", F.coalesce(pause, F.lit(0))).withColumn("_burst", F.sum("_p").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_p")
+    bursts = views.withColumn("_p", F.coalesce(pause, F.lit(0))).withColumn("_burst", F.floor(F.sum("_p").over(w.rangeBetween(Window.unboundedPreceding, 0)) / 1024)).drop("_p")
 
     def judge(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(ms, kind="stable")

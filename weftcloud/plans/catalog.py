@@ -374,7 +374,7 @@ def qualifying(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query("opportunities", CTES + ", " + fov_sql() + f"SELECT {CHK}, count(*) AS opportunities FROM seen GROUP BY {CHK}")
 def opportunities(spark, d):
-    return observation.opportunities(qualifying(spark, d)[1])
+    return observation.counted(fx.batches(spark, d), fusion.touched(placed(spark, d)), CHUNK, _FOV)
 
 
 @query("voxel-baseline", CTES + ", " + fov_sql() + f", run AS (SELECT *, count(*) OVER (PARTITION BY {CHK} ORDER BY sequence) AS so_far, count(*) OVER (PARTITION BY {CHK}) AS opportunities FROM seen), vox AS (SELECT {VOX}, count(*) AS n, min(sequence) AS first_seq FROM placed GROUP BY ALL) SELECT {VOX}, n, so_far AS o0, opportunities FROM vox JOIN run USING (session_id, cx, cy, cz) WHERE run.sequence = first_seq AND n / CAST(greatest(opportunities - so_far + 1, 1) AS DOUBLE) >= 0.1")

@@ -142,8 +142,7 @@ def _own_fov_sql() -> str:
 @query("opportunities-own-view", CTES + ", " + _own_fov_sql() + f"SELECT {CHK}, count(*) AS opportunities FROM seen GROUP BY {CHK}")
 def opportunities_own_view(spark, d):
     meta = spark.range(1).select(F.lit("A").alias("session_id"), F.lit(_OWN).alias("metadata"))
-    rows = observation.qualifying(fx.batches(spark, d), fusion.touched(catalog.placed(spark, d)), CHUNK, catalog._FOV, meta)
-    return observation.opportunities(rows)
+    return observation.counted(fx.batches(spark, d), fusion.touched(catalog.placed(spark, d)), CHUNK, catalog._FOV, meta)
 
 
 @query("packet-time", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_id * 977 % 4294967296 END AS us FROM events")
