@@ -95,10 +95,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the texts of each entry, told apart by their bytes
     chains = index.placed(texts.select("h", "norm", "doc_id", "uid")).groupBy("bucket", "h", "norm").agg(F.max(order).alias("top"), F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
     forked = written(chains.select("bucket", "h"), "chains").groupBy("bucket", "h").count().where("count > 1").select("bucket", "h")
-    whole = index.entries.join(forked, ["bucket", "h"], "left_anti").select("bucket", "h", F.col("first").alias("top"), F.col("top_id").alias("keep_id"), F.col("n").alias("size"))
-    rows = index.placed(records.select("doc_id", "uid", "h", "sha"))
-    found = [rows.join(whole, ["bucket", "h"])]
-    if not forked.isEmpty():
+    some = not forked.isEmpty()
+    # without forks a plain join of stored tables, which adaptive execution can split
+    plain = index.entries.join(forked, ["bucket", "h"], "left_anti") if some else index.entries
+    whole = plain.select("bucket", "h", F.col("first").alias("top"), F.col("top_id").alias("keep_id"), F.col("n").alias("size"))
+    found = [index.placed(records.select("doc_id", "uid", "h", "sha")).join(whole, ["bucket", "h"])]
+    if some:
         by_bytes = chains.join(forked, ["bucket", "h"], "left_semi")
         found.append(index.placed(texts.select("doc_id", "uid", "h", "norm")).join(by_bytes, ["bucket", "h", "norm"]).withColumn("sha", F.unhex(F.sha2("norm", 256))))
     out = [r.select("doc_id", "uid", "keep_id", F.col("size").alias("group_size"), (order == F.col("top")).alias("kept"), "sha", "bucket") for r in found]
