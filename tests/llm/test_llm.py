@@ -6,6 +6,7 @@ import os
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,6 +14,8 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -541,7 +544,51 @@ def test_html():
     assert show("<pre> k\n  l</pre>z<br>w") == "k\n  l\n\nz\nw".replace("k", " k", 1).strip("\n")
     assert show(None) == show("") == "" and show("a < b & c") == "a < b & c"
     assert show("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
-    assert show("</p></div>x<td>y</table>") == "x\n\ny" or "x" in show("</p></div>x<td>y</table>")
+    assert show("</p></div>x<td>y</table>") == "x y"
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<table><tbody><td>x</td></tbody></table>", "x"),
+        ("<table><tr><b>Total</b><td>5</td></tr></table>z", "Total\n\n5\n\nz"),
+        ("<table><tr><form><td>Name</td></form></tr></table>", "Name"),
+        ("<table>stray<tr><td>a<table><tr><td>in</table>b</table>", "stray\n\na\n\nin\n\nb"),
+        ("<table><tr><td colspan=2>ab<td>c<tr><td>1<td>2<td>3</table>", "ab    c\n1  2  3"),
+        ("<table><tr><td rowspan=2>r<td>a<tr><td>b<tr><td>1<td>2</table>", "r  a\n   b\n1  2"),
+        ("<table><tr><td>\u65e5\u672c<td>x<tr><td>abcd<td>y</table>", "\u65e5\u672c  x\nabcd  y"),
+        ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"),
+        ("<div style='display:none'>no<b style='visibility:visible'>no</b></div>y", "y"),
+        ("<i style='backface-visibility:hidden'>k</i>", "k"),
+        ('a<a href="x>link</a>', "alink"),
+        ("<b><p>x</b>y</p>z", "xy\n\nz"),
+        ("<head>Hi<title>t</title>", "Hi"),
+        ("<!-->x<!-- y --><math><mi>m</mi></math><dialog>no</dialog>", "xm"),
+        ("<div hidden>" + "<div>" * 300 + "no" + "</div>" * 300 + "no</div>yes", "yes"),
+        ("<p>a<b", "a"),
+    ],
+)
+def test_html_cases(source, want):
+    assert html_layout.visible_text(source) == want
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a href="x>l', "<", "<!", "<div>", "<ul><li>x", "<p><button><div>", "<table><tr><td>x", "<tr><td rowspan=9 colspan=1000>x", "<script>", "<head>x", "<pre>x"])
+def test_html_in_proportion(part):
+    """Broken and deep pages take time and room in proportion to their size."""
+    begun = time.perf_counter()
+    text = html_layout.visible_text("<table>" * part.startswith("<tr") + part * (300_000 // len(part)))
+    assert time.perf_counter() - begun < 20 and len(text) < 20 * 300_000
+
+
+WORDS = st.lists(st.sampled_from(["<p>", "</p>", "<b>", "</b>", "<div>", "</div>", "<table>", "</table>", "<tr>", "<td>", "</td>", "</tr>", "<th colspan=2>", "<li>", "<ul>", "</ul>", "<pre>", "<caption>", "<tbody>", "<form>", "<dd>", "<br>", "w1 ", "w2 ", "w3 ", "w4 "]), max_size=40)
+
+
+@settings(max_examples=300, deadline=None)
+@given(WORDS)
+def test_html_loses_no_words(parts):
+    """Whatever the order of tags, each visible word comes out as often as it went in."""
+    count = lambda words: sorted(w for w in " ".join(words).split() if w in ("w1", "w2", "w3", "w4"))
+    assert count(re.split(r"\W+", html_layout.visible_text(" ".join(parts)))) == count(parts)
 
 
 def test_html_table(spark):
