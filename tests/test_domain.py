@@ -1,6 +1,7 @@
 """Small cases with known answers, on the operators' own interfaces."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -336,3 +337,12 @@ def test_elevation_bounds_beyond_the_zenith(spark):
 def test_throttle_compares_with_the_last_accepted(spark):
     rows = spark.createDataFrame([("v", t) for t in (0, 60, 120, 180, 240, 500, 550)], "viewer_id string, at_ms bigint")
     assert sorted(r.at_ms for r in serving.throttled(rows).collect()) == [0, 120, 240, 500]
+
+
+def test_percentiles(spark):
+    r = random.Random(5)
+    for values in ([], [None], [3.0], [1.0] * 50 + [2.0], [r.random() for _ in range(3000)] + [0.5] * 900 + [None] * 7, [float(r.randrange(40)) for _ in range(500)]):
+        rows = spark.createDataFrame([(v,) for v in values], "value double")
+        kept = sorted(v for v in values if v is not None)
+        want = tuple(kept[int(len(kept) * s)] if kept else None for s in (0.5, 0.9, 0.0)) + (kept[-1] if kept else None,)
+        assert tuple(serving.percentiles(rows, "value", (0.5, 0.9, 0.0)).first()) == want

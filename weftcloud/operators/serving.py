@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -167,11 +169,22 @@ def log_summary(batches: DataFrame, dirty: DataFrame, swept: int, budget: int =
     return a.join(b, "session_id", "left").select("session_id", "log_bytes", "last_sequence", zero("dirty_chunks"), zero("pending"))
 
 
+PIECES = 256  # ranges of values that percentiles are looked for in
+
+
 def percentiles(rows: DataFrame, value: str, shares: Sequence[float] = (0.5, 0.9)) -> DataFrame:
-    """Values at index floor(n * share) of the sorted values, and the greatest."""
-    w = Window.partitionBy()
-    ranked = rows.select(F.col(value).alias("v")).repartitionByRange("v")
-    n = rows.agg(F.count(value).alias("n"))
-    groups = ranked.groupBy("v").agg(F.count("v").alias("c")).withColumn("upto", F.sum("c").over(w.orderBy("v")))
-    j = groups.join(F.broadcast(n))
-    return j.agg(*[F.min(F.when(F.col("upto") > F.floor(F.col("n") * s), F.col("v"))).alias(f"p{int(s * 100)}") for s in shares], F.max("v").alias("max"))
+    """Values at index floor(n * share) of the sorted values that aren't null, and the greatest; exact.
+
+    Equal values are counted first. Approximate quantiles cut the rest into ranges, whose counts say which hold a wanted index; only
+    those and the last are ranked, each in a task of its own.
+    """
+    groups = rows.select(F.col(value).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+    cuts = groups.agg(F.percentile_approx("v", [k / PIECES for k in range(1, PIECES)], 10_000))
+    dealt = groups.withColumn("cuts", cuts.scalar()).withColumn("piece", F.size(F.filter("cuts", lambda cut: cut <= F.col("v")))).drop("cuts")
+    whole = Window.partitionBy()  # of PIECES rows at most, here and below
+    counts = dealt.groupBy("piece").agg(F.sum("c").alias("k")).withColumn("n", F.sum("k").over(whole))
+    starts = counts.withColumn("start", F.sum("k").over(whole.orderBy("piece")) - F.col("k"))
+    end, wanted = F.col("start") + F.col("k"), [F.floor(F.col("n") * s) for s in shares]
+    held = starts.where(reduce(operator.or_, [(F.col("start") <= i) & (end > i) for i in wanted], end == F.col("n"))).drop("k")
+    ranked = dealt.join(F.broadcast(held), "piece").withColumn("upto", F.col("start") + F.sum("c").over(Window.partitionBy("piece").orderBy("v")))
+    return ranked.agg(*[F.min(F.when(F.col("upto") > i, F.col("v"))).alias(f"p{int(s * 100)}") for s, i in zip(shares, wanted, strict=True)], F.max("v").alias("max"))
