@@ -69,7 +69,7 @@ def hilbert_shards(docs: DataFrame, dims: list[tuple[str, str]], shards: int = 8
 
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carry, F.array(*[quantised(F.col(c), k, bits) for c, k in dims]).alias("axes"), F.monotonically_increasing_id().alias("uid"))
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *carry, F.array(*[quantised(F.col(f"`{c}`"), k, bits) for c, k in dims]).alias("axes"), F.monotonically_increasing_id().alias("uid"))
     keyed = written(keyed.withColumn("curve", index("axes")).drop("axes"), "curve")
     pieces = written(keyed.repartitionByRange(parts, "curve", "doc_id", "uid").withColumn("piece", F.spark_partition_id()), "pieces")
     sizes = pieces.groupBy("piece").count()
