@@ -259,6 +259,29 @@ def test_near_group_of_many(spark):
     assert got == want
 
 
+def test_near_group_round_its_last_row(spark, monkeypatch):
+    """Members of one large group that are only near its middle, which leads no bucket: they join it without meeting one another."""
+    r = random.Random(6)
+    base = prose(8, 120).split()
+    rows = []
+    for i in range(240):
+        w = base[:]
+        for p in r.sample(range(5, 115), 1 + (i % 3 > 0)):
+            w[p] = f"e{i}_{p}"
+        rows.append((i, " ".join(w)))
+    rows.append((240, " ".join(base)))
+    met, before = [], minmax_dedup.sharing_rare
+
+    def counted(*args):
+        met.append(before(*args).count())
+        return before(*args)
+
+    monkeypatch.setattr(minmax_dedup, "sharing_rare", counted)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minmax_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 5).collect()}
+    assert got == brute_near(rows, 5, 80)
+    assert met[0] <= len(rows)
+
+
 def test_min_max_signature_is_unbiased():
     r = np.random.default_rng(0)
     shared, a, b = (r.integers(0, 2**63, n, dtype=np.uint64) for n in (400, 50, 50))

@@ -9,9 +9,11 @@ never meet in buckets.
 Links between classes are confirmed on the full sets, without emitting all pairs of a bucket:
 1. each class is tested against the bucket leader with which it shares most buckets; links are joined to components;
 2. classes are tested against all leaders of their buckets that lie in other components;
-3. of those that still share a bucket across components, pairs that share one of their rarest shingles are tested, which leaves out no
-   pair at the threshold. Inside one component nothing is left to learn.
-Steps 2 and 3 leave out pairs whose signatures agree on fewer values than any pair at the threshold would in 8 standard
+3. of those that still share a bucket across components, the holders of a rare shingle are tested against its hub, the holder with most
+   shingles left from that one on. Whatever a group's middle reaches joins it here, one test for each holder, whichever id leads the buckets.
+4. pairs across the components that are left, if they share one of their rarest shingles, are tested; that leaves out no pair at the
+   threshold. Inside one component nothing is left to learn.
+Steps 2 to 4 leave out pairs whose signatures agree on fewer values than any pair at the threshold would in 8 standard
 deviations. A bucket's members meet their leader by joins that adaptive execution can split; nothing is gathered by bucket.
 
 Defined cases: A-Z is lower-cased; a document of fewer than k words has its whole sequence as one shingle; one without words (or
@@ -26,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textkit as tk
 from .components import components
 from .store import dropped, ship, written
 
 PERMUTATIONS, ROWS = 150, 6
+HUB_ROUNDS = 3  # at most; what they leave unlinked is tested in step 4
 _rng = np.random.default_rng(77001)
 _MUL = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
 _XOR = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
@@ -159,42 +162,60 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "elems_a", "elems_b").mapInArrow(run, "a long, b long")
 
 
-def sharing_rare(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes (node, comp) of different components that can reach the threshold, by their rarest shingles.
+def rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n, rest) of nodes: the shingles of which two sets that reach the threshold share one.
 
     With shingles in one order for all, rarest first, two sets of the wanted similarity share one of their first
     n - ceil(percent * n / 100) + 1. A shingle that no other node has takes a place and makes no pair, so a set with
-    enough shingles of its own is compared with nothing, however large the group that it is in. The first shingle that two
-    sets share also bounds their intersection, by what is left of either from its place on; that is tested in the join.
+    enough shingles of its own is compared with nothing, however large the group that it is in. rest: how many shared shingles a
+    set has from this one on; if it is the first that two sets share, that bounds their intersection.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = tk.column_bytes(batch.column(2))
+            buf, off = tk.column_bytes(batch.column(1))
             n = np.diff(off) // 8
             for i, j in tk.row_blocks(off, 1 << 22):
                 row = pa.array(np.repeat(np.arange(i, j), n[i:j]))
                 part = np.ascontiguousarray(buf[off[i] : off[j]]).view(np.int64)
-                yield pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.repeat(n[i:j], n[i:j])), pa.array(part)], names=["node", "comp", "n", "token"])
+                yield pa.record_batch([batch.column(0).take(row), pa.array(np.repeat(n[i:j], n[i:j])), pa.array(part)], names=["node", "n", "token"])
 
-    tokens = written(nodes.join(sets, "node").select("node", "comp", "elems").mapInArrow(run, "node long, comp long, n long, token long"), "tokens")
+    tokens = written(nodes.join(sets, "node").select("node", "elems").mapInArrow(run, "node long, n long, token long"), "tokens")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     common = written(tokens.join(shared, "token"), "common")
     dropped(tokens)
     places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     left = common.groupBy("node", "n").agg(F.count(F.lit(1)).alias("m")).select("node", (F.col("n") - F.col("m")).alias("own"), (places - (F.col("n") - F.col("m"))).alias("left")).where("left > 0")
     first = Window.partitionBy("node").orderBy("df", "token")
-    prefix = common.join(left, "node").withColumn("at", F.row_number().over(first)).where("at <= left").select("token", "node", "comp", "n", (F.col("n") - F.col("own") - F.col("at") + 1).alias("rest"))
+    prefix = common.join(left, "node").withColumn("at", F.row_number().over(first)).where("at <= left").select("token", "node", "n", (F.col("n") - F.col("own") - F.col("at") + 1).alias("rest"))
     prefix = written(prefix, "prefix")
     dropped(common)
+    return prefix
+
+
+def enough(percent: int) -> Column:
+    """Whether a and b can reach the threshold if they share nothing before the shingle that they meet in."""
+    return F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+
+
+def with_hubs(prefix: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components, b the hub of a shingle of both: no more than prefix (token, node, n, rest, comp) has rows."""
+    hub = F.max(F.struct("rest", (-F.col("node")).alias("node"), "n", "comp"))
+    hubs = prefix.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), hub.alias("hub")).where("x <> y")
+    hubs = hubs.select("token", F.col("hub.rest").alias("rb"), (-F.col("hub.node")).alias("b"), F.col("hub.n").alias("nb"), F.col("hub.comp").alias("cb"))
+    a = prefix.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("comp").alias("ca"))
+    return a.join(hubs, "token").where("ca <> cb").where(enough(percent)).select("a", "b").distinct()
+
+
+def sharing_rare(prefix: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of prefix (token, node, n, rest, comp) and can reach the threshold."""
     mixed = prefix.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     # of two sets that reach the threshold, the one with more left of itself has at least 2 * percent / (100 + percent) of it left: others don't meet one another
     full = F.col("rest") * (100 + percent) >= F.col("n") * 2 * percent
     prefix = prefix.join(mixed, "token", "left_semi").withColumn("full", full)
     side = lambda x: prefix.select("token", *[F.col(c).alias(c[0] + x) for c in ("comp", "n", "rest", "full")], F.col("node").alias(x))
     a, b = side("a").where("fa"), side("b")
-    enough = F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    return a.join(b, "token").where("ca <> cb and (not fb or a > b)").where(enough).select("a", "b").distinct()
+    return a.join(b, "token").where("ca <> cb and (not fb or a > b)").where(enough(percent)).select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,12 +252,26 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     if not new.isEmpty():
         links = links.union(new)
         comps = components(links)
-    # 3. whatever still shares a bucket across components
+    # 3. whatever still shares a bucket across components, against the hubs of its rare shingles
     held = labelled(members.select("key", "node"), "node", "comp")
     split = held.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    open_ = written(held.join(split, "key", "left_semi").select("node", "comp").distinct(), "open")
-    rest = written(similar_enough(sharing_rare(open_, sets, percent), sigs, percent / 100), "cross")
-    new = written(confirmed(rest, sets, percent), "links")
+    open_ = written(held.join(split, "key", "left_semi").select("node").distinct(), "open")
+    prefix = rare_shingles(open_, sets, percent)
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        likely = written(similar_enough(pairs, sigs, percent / 100), "cross")
+        new = written(confirmed(likely, sets, percent), "links")
+        dropped(likely)
+        return new
+
+    for _ in range(HUB_ROUNDS):
+        new = tested(with_hubs(labelled(prefix, "node", "comp"), percent))
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        comps = components(links)
+    # 4. against one another
+    new = tested(sharing_rare(labelled(prefix, "node", "comp"), percent))
     if not new.isEmpty():
         comps = components(links.union(new))
     to_class = table.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
