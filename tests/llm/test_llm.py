@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftcloud.llm import bpe_transducer, exact_dedup, hilbert, html_layout, minmax_dedup, queries, run_length_index, skip_chain_pii, suffix_decontam, tree_weighting, weak_labels
+from weftcloud.llm import bpe_transducer, exact_dedup, hilbert, html_layout, minmax_dedup, queries, run_length_index, skip_chain_pii, store, suffix_decontam, tree_weighting, weak_labels
 from weftcloud.llm import textkit as tk
 
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -369,6 +369,21 @@ def test_repeats_with_periods(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_repeats(rows, 200)))
 
 
+def test_repeats_leave_little_on_disk(spark, docs):
+    """Shuffle files go with the write that they served, tables when nothing reads them again."""
+    env, folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv, store.shared_dir(spark).removeprefix("file://")
+    shuffled = lambda: {x for f in iter(env.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()) if "shuffle_" in (x := os.path.basename(f))}
+    before, tables, setting = shuffled(), set(os.listdir(folder)), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    out = run_length_index.remove_repeats(docs)
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - tables} == {"texts", "spans"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert out.count() == docs.count()
+
+
 def test_matching_statistics():
     r = random.Random(4)
     s = [r.choice((1, 2)) for _ in range(300)]

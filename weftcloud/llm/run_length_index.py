@@ -2,7 +2,8 @@
 
 Which strings can repeat is found first, exactly: of the grams (40 bytes) in each 200-byte window the one of least hash is
 the window's anchor, so equal windows have equal anchors, wherever they stand. Consecutive windows with one anchor make a
-segment. Segments are counted by (anchor, hash of the segment) with a map-side combine, so copies fold into a number at once.
+segment. Anchors are counted with a map-side combine, so copies fold into a number at once.
+- An anchor of a single segment shares no window with anything; it is left out from there on.
 - A segment that occurs twice repeats as a whole.
 - Where several different segments share an anchor, one of each goes to the index: their text is sorted into a Burrows-Wheeler
   transform, of which only runs are kept, with samples (text position, common prefix with the neighbour) at run ends. Inside a run the
@@ -201,12 +202,16 @@ def repeated_marks(texts: DataFrame, length: int = LENGTH, grams: list[int] | No
     """(id, th, marks): ranges of bytes to remove, per text that has some; texts: (id, th, text), each pair once."""
     gram, *longer = grams or gram_sizes(length, GRAM)
     table = written(anchor_table(texts, length, gram), "anchors")
+    shared = table.groupBy("ah").agg(F.count(F.lit(1)).alias("n"), F.min("sk").alias("x"), F.max("sk").alias("y")).where("n > 1").select("ah", (F.col("x") == F.col("y")).alias("alike"))
+    shared = written(shared, "shared")
+    found = written(table.join(shared, "ah").select("id", "th", "at", "size", "ah", "sk", "alike"), "found")
+    dropped(table, shared)
     order, place = F.xxhash64("id", "th", "at"), F.col("at").cast("long") * 65536 + F.col("size")
     kinds = written(
-        table.groupBy("ah", "sk").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", order).alias("id"), F.min_by("th", order).alias("th"), F.min_by(place, order).alias("place")),
+        found.where("not alike").groupBy("ah", "sk").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", order).alias("id"), F.min_by("th", order).alias("th"), F.min_by(place, order).alias("place")),
         "kinds",
     )
-    several = written(kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "several")
+    several = written(kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")), "several")
     # one occurrence of each different segment that another may share a window with; of those that occur twice too, as witnesses
     one = written(kinds.join(several, "ah").select("id", "th", F.shiftright("place", 16).cast("int").alias("at"), F.expr("cast(place & 65535 as int)").alias("size"), "ah", "sk", "n", "kinds"), "one")
     segments = written(cut_segments(one.select("id", "th", "at", "size", "ah", "sk"), texts), "segments")
@@ -214,16 +219,20 @@ def repeated_marks(texts: DataFrame, length: int = LENGTH, grams: list[int] | No
     limit = hot if longer else 1 << 62
     few, many = (segments.join(of_kind.where(c).select("ah", "sk"), ["ah", "sk"], "left_semi") for c in (F.col("kinds") <= limit, F.col("kinds") > limit))
     marks = indexed_marks(few, length)
+    done = [several, one, segments, kinds, found]
     if not several.where(F.col("kinds") > limit).isEmpty():
-        split = many.select(F.col("ah").alias("id"), F.col("sk").alias("th"), F.col("seg").alias("text"))
-        marks = marks.union(repeated_marks(written(split, "split"), length, longer, hot).select(F.col("id").alias("ah"), F.col("th").alias("sk"), "marks"))
+        split = written(many.select(F.col("ah").alias("id"), F.col("sk").alias("th"), F.col("seg").alias("text")), "split")
+        done.append(split)
+        marks = marks.union(repeated_marks(split, length, longer, hot).select(F.col("id").alias("ah"), F.col("th").alias("sk"), "marks"))
     marks = marks.where(F.size("marks") > 0).join(of_kind.where("n > 1").select("ah", "sk"), ["ah", "sk"], "left_anti")
     whole = kinds.where("n > 1").select("ah", "sk", F.lit(None).cast("array<int>").alias("marks"))
     marks = written(whole.unionByName(marks.select("ah", "sk", "marks")), "marks")
-    found = table.join(marks, ["ah", "sk"])
-    spans = found.select("id", "th", F.when(F.col("marks").isNull(), F.array(F.col("at"), F.col("at") + F.col("size"))).otherwise(F.transform("marks", lambda m: m + F.col("at"))).alias("m"))
+    done.append(marks)
+    itself = F.array(F.col("at"), F.col("at") + F.col("size"))
+    spans = found.where("not alike").join(marks, ["ah", "sk"]).select("id", "th", F.when(F.col("marks").isNull(), itself).otherwise(F.transform("marks", lambda m: m + F.col("at"))).alias("m"))
+    spans = found.where("alike").select("id", "th", itself.alias("m")).union(spans)
     out = written(spans, "spans").groupBy("id", "th").agg(F.flatten(F.collect_list("m")).alias("marks"))
-    dropped(several, one, segments)
+    dropped(*done)
     return out
 
 
