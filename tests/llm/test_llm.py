@@ -282,6 +282,42 @@ def test_near_group_round_its_last_row(spark, monkeypatch):
     assert met[0] <= len(rows)
 
 
+def test_rare_shingles_sort_once(spark, monkeypatch):
+    """The first shingles of each set by (documents that hold it, hash), and no table of shingles joined or sorted twice for them."""
+    r = random.Random(9)
+    # the third set has too many shingles of its own, the last shares none
+    sets = {i: sorted(r.sample(range(60), 30) + list(range(1000 * i, 1000 * i + own))) for i, own in ((1, 0), (2, 3), (3, 40), (4, 6), (5, 1))} | {6: [9000, 9001]}
+    df = {}
+    for x in sets.values():
+        for token in x:
+            df[token] = df.get(token, 0) + 1
+    want = set()
+    for node, x in sets.items():
+        shared = sorted((df[token], token) for token in x if df[token] > 1)
+        left = len(x) - -(-len(x) * 80 // 100) + 1 - (len(x) - len(shared))
+        want |= {(token, node, len(x), len(shared) - at) for at, (_, token) in enumerate(shared[: max(left, 0)])}
+    plans, before = {}, minmax_dedup.written
+
+    def planned(table, name, by=None):
+        plans[name] = table._jdf.queryExecution().sparkPlan().toString(), table._jdf.queryExecution().executedPlan().toString()
+        return before(table, name, by)
+
+    monkeypatch.setattr(minmax_dedup, "written", planned)
+    elems = spark.createDataFrame([(i, np.array(x, np.uint64).tobytes()) for i, x in sets.items()], "node long, elems binary")
+    got = minmax_dedup.rare_shingles(elems.select("node"), elems, 80).collect()
+    assert len(got) == len(want) and {(x.token, x.node, x.n, x.rest) for x in got} == want
+    logical, physical = plans["prefix"]
+    # two sets of one document: it keeps what either must keep
+    both = elems.union(elems.where("node = 2").selectExpr("1L as node", "elems"))
+    kept = {(x.token, x.node) for x in minmax_dedup.rare_shingles(elems.select("node"), both, 80).collect()}
+    counts = [(token, n + (token in sets[2])) for token, n in df.items()]
+    shared = {token: n for token, n in counts if n > 1}
+    for x in (sets[1], sets[2]):
+        first = sorted((shared[token], token) for token in x if token in shared)
+        assert {(token, 1) for _, token in first[: len(x) - -(-len(x) * 80 // 100) + 1 - (len(x) - len(first))]} <= kept
+    assert "Join" not in logical and physical.count("Sort [") == 1 and physical.count("Exchange") == 1
+
+
 def test_min_max_signature_is_unbiased():
     r = np.random.default_rng(0)
     shared, a, b = (r.integers(0, 2**63, n, dtype=np.uint64) for n in (400, 50, 50))

@@ -184,10 +184,11 @@ def rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     common = written(tokens.join(shared, "token"), "common")
     dropped(tokens)
+    # one sort by node serves the places and the counts: large tables aren't joined and sorted again for them
     places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    left = common.groupBy("node", "n").agg(F.count(F.lit(1)).alias("m")).select("node", (F.col("n") - F.col("m")).alias("own"), (places - (F.col("n") - F.col("m"))).alias("left")).where("left > 0")
-    first = Window.partitionBy("node").orderBy("df", "token")
-    prefix = common.join(left, "node").withColumn("at", F.row_number().over(first)).where("at <= left").select("token", "node", "n", (F.col("n") - F.col("own") - F.col("at") + 1).alias("rest"))
+    each = Window.partitionBy("node")
+    ranked = common.withColumn("at", F.row_number().over(each.orderBy("df", "token"))).withColumn("m", F.count(F.lit(1)).over(each))
+    prefix = ranked.where(F.col("at") <= places - (F.col("n") - F.col("m"))).select("token", "node", "n", (F.col("m") - F.col("at") + 1).alias("rest"))
     prefix = written(prefix, "prefix")
     dropped(common)
     return prefix
