@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from weftcloud.functions import formats, geometry as geo
 from weftcloud.functions.views import Camera, chunk_level, distance_to_box, sees_box, sees_point
@@ -123,6 +123,30 @@ def test_pack_and_decode(spark):
     assert packed.select(formats.payload_finite("payload", "point_format").alias("v")).first().v
 
 
+def test_many_small_batches_are_packed_and_decoded_together(spark):
+    """Python is called for Arrow batches, not for each group, file and payload."""
+    rows = spark.range(30_000).select((F.col("id") % 7).alias("idx"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).cast("string").alias("session_id"), F.expr("cast(id div 7 as bigint)").alias("sequence"), *[(F.col("id") % k / 4).alias(c) for k, c in ((11, "x"), (13, "y"), (17, "z"))], *[F.lit(k).alias(c) for k, c in enumerate("rgb")], (F.col("id") % 250 * 256).cast("int").alias("intensity"))
+    rows = rows.union(rows.where("sequence = 3").selectExpr("explode(sequence(7, 25000)) as idx", "'long' as session_id", "sequence", "idx / 1000 as x", "y", "z", "r", "g", "b", "intensity").dropDuplicates(["idx"]))
+    packed = formats.packed(rows, ("session_id", "sequence"), "xyzi_q4_v2")
+    assert "FlatMapGroupsInPandas" not in packed._jdf.queryExecution().toString()
+    want = rows.groupBy("session_id", "sequence").agg(F.count(F.lit(1)).alias("n"))
+    assert packed.count() == want.count()
+    framed = packed.select(F.lit("p").alias("path"), batch_log.frame_of(F.to_json(F.struct("session_id", "sequence", F.lit("xyzi_q4_v2").alias("point_format"))), F.col("payload")).alias("content"))
+    found = batch_log.split_frames(framed)
+    assert found.count() == want.count()
+    back = formats.decode_batches(batch_log.bronze(found), ("session_id", "sequence"))
+    place = F.row_number().over(Window.partitionBy("session_id", "sequence").orderBy("idx")) - 1
+    exact = rows.select("session_id", "sequence", *[F.col(c).cast("float").alias(c) for c in "xyz"], (F.shiftright("intensity", 8) * 256).alias("intensity"), place.alias("idx"))
+    key = lambda t: sorted((r.session_id or "", r.sequence, r.idx, round(r.x, 2), r.intensity) for r in t.collect())
+    assert key(back) == key(exact)
+
+
+def test_chunk_payloads_have_their_own_origin(spark):
+    rows = spark.createDataFrame([(c, i, 2.0 * c + 0.25 * i) for c in range(3) for i in range(4)], "cx int, idx int, x double").withColumns({"y": F.lit(0.0), "z": F.lit(0.0), "r": F.lit(1), "g": F.lit(2), "b": F.lit(3), "intensity": F.lit(512), "ox": F.col("cx") * 2.0, "o": F.lit(0.0)})
+    for r in formats.packed(rows, ("cx",), "q8_chunk_v2", origin=("ox", "o", "o")).collect():
+        assert np.frombuffer(r.payload, formats.Q8)["x"].tolist() == [0, 32, 64, 96] and r.point_count == 4
+
+
 def test_torn_log_is_cut(spark):
     good = batch_log.frame({"session_id": "s", "sequence": 1}, b"abc")
     bad = bytearray(batch_log.frame({"session_id": "s", "sequence": 2}, b"def"))

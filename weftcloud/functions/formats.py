@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
@@ -103,36 +105,98 @@ def pack(rows: np.ndarray, kind: str, origin: tuple[float, float, float] = (0, 0
     return out.tobytes()
 
 
-def decode_batches(batches: DataFrame, keep: tuple[str, ...] = ("session_id", "sequence", "pose_sequence")) -> DataFrame:
-    """One row for each point of each batch (payload, point_format): the kept columns, the point and its position."""
+BLOCK = 1 << 21  # bytes of payload decoded at a time
+
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def decode_batches(batches: DataFrame, keep: tuple[str, ...] = ("session_id", "sequence", "pose_sequence")) -> DataFrame:
+    """One row for each point of each batch (payload, point_format): the kept columns, the point and its position.
+
+    Payloads are decoded many at a time, up to BLOCK bytes or one payload.
+    """
+
+    def decoded(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        kinds = [k or "xyz_rgb_i_v1" for k in part.column("point_format").to_pylist()]
+        for kind in dict.fromkeys(kinds):
+            rows = np.array([k for k, other in enumerate(kinds) if other == kind])
+            stride = 18 if kind == "xyz_rgb_i_v1" else 7
+            payloads = part.column("payload").take(pa.array(rows))
+            sizes = payloads.cast(pa.large_binary()).buffers()[1]
+            sizes = np.diff(np.frombuffer(sizes, np.int64)[: len(rows) + 1])
+            if payloads.null_count or (sizes % stride).any():
+                raise ValueError(f"payload size doesn't fit {kind}")
+            ends = np.cumsum(sizes)
+            first = 0
+            while first < len(rows):
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] - sizes[first] + BLOCK, "right")))
+                n = sizes[first:last] // stride
+                points = unpack(b"".join(payloads.slice(first, last - first).to_pylist()), kind)
+                own = part.select(list(keep)).take(pa.array(np.repeat(rows[first:last], n)))
+                idx = np.arange(len(points)) - np.repeat(np.cumsum(n) - n, n)
+                cols = [*(points[c].astype(np.float32) for c in "xyz"), *(points[c].astype(np.int16) for c in "rgb"), points["intensity"].astype(np.int32), idx.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in keep), *(pa.array(c) for c in cols)], names=[*keep, *(c.split()[0] for c in POINTS.split(", "))])
+                first = last
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for row in part.itertuples(index=False):
-                points = unpack(row.payload, row.point_format or "xyz_rgb_i_v1")
-                out = pd.DataFrame({n: points[n] for n in ("x", "y", "z")} | {n: points[n].astype(np.int16) for n in "rgb"})
-                out["intensity"], out["idx"] = points["intensity"].astype(np.int32), np.arange(len(points), dtype=np.int32)
-                for c in reversed(keep):
-                    out.insert(0, c, getattr(row, c))
-                yield out
+            yield from decoded(part)
 
     kept = ", ".join(f"{c} {batches.schema[c].dataType.simpleString()}" for c in keep)
-    return batches.select(*keep, "point_format", "payload").mapInPandas(run, f"{kept}, {POINTS}")
+    return batches.select(*keep, "point_format", "payload").mapInArrow(run, f"{kept}, {POINTS}")
 
 
-def packed(points: DataFrame, keys: tuple[str, ...], kind: str, order: str = "idx", origin: tuple[str, str, str] | None = None, size: float = 2.0) -> DataFrame:
-    """The reverse: one payload for each group of points, in order; groups are batches or chunks, bounded by their definition."""
+def _starts(keys: list[pa.Array]) -> np.ndarray:
+    """Where the rows of sorted keys start a new group; nulls are equal."""
+    new = np.zeros(max(len(keys[0]) - 1, 0), bool)
+    for k in keys:
+        a, b = k.slice(0, len(k) - 1), k.slice(1)
+        other = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        new |= other | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        rows = np.zeros(len(part), V1)
-        for n in V1.names[:-1]:
-            rows[n] = part[n].to_numpy()
-        at = tuple(float(part[c].iloc[0]) for c in origin) if origin else (0, 0, 0)
-        return pd.DataFrame([[*(part[k].iloc[0] for k in keys), len(part), pack(rows, kind, at, size)]])
+
+def packed(points: DataFrame, keys: tuple[str, ...], kind: str, order: str = "idx", origin: tuple[str, str, str] | None = None, size: float = 2.0) -> DataFrame:
+    """The reverse: one payload for each group of points, in order; groups are batches or chunks, bounded by their definition.
+
+    Sorted rows are packed as they come, all groups of an Arrow batch at once; only the last group waits for the next batch.
+    """
+    names = [f"_k{k}" for k in range(len(keys))]
+
+    def pack_rows(part: pa.RecordBatch, starts: np.ndarray, end: int) -> pa.RecordBatch:
+        n = np.diff(np.append(starts, end))
+        rows = np.zeros(end, V1)
+        for c in V1.names[:-1]:
+            rows[c] = part.column(f"_{c}").slice(0, end).to_numpy(zero_copy_only=False)
+        at = tuple(np.repeat(part.column(f"_o{k}").to_numpy(zero_copy_only=False).astype(float)[starts], n) for k in range(3)) if origin else (0, 0, 0)
+        data = pack(rows, kind, at, size)
+        bounds = (np.append(starts, end) * STRIDES[kind]).astype(np.int32)
+        payload = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data)])
+        first = pa.array(starts)
+        return pa.RecordBatch.from_arrays([*(part.column(k).take(first) for k in names), pa.array(n.astype(np.int32)), payload], names=[*keys, "point_count", "payload"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of one group, which may go on
+        for part in parts:
+            if not part.num_rows:
+                continue
+            if held and len(_starts([pa.concat_arrays([held[0].column(k).slice(0, 1), part.column(k).slice(part.num_rows - 1)]) for k in names])) == 1:
+                held.append(part)
+                continue
+            whole = _joined([*held, part])
+            starts = _starts([whole.column(k) for k in names])
+            if len(starts) > 1:
+                yield pack_rows(whole, starts[:-1], int(starts[-1]))
+            held = [whole.slice(int(starts[-1]))]
+        if held:
+            whole = _joined(held)
+            yield pack_rows(whole, np.zeros(1, np.int64), whole.num_rows)
 
     kept = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in keys)
-    return points.groupBy(*keys).applyInPandas(run, f"{kept}, point_count int, payload binary")
+    rows = points.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(order).alias("_order"), *[F.col(c).alias(f"_{c}") for c in V1.names[:-1]], *[F.col(c).alias(f"_o{k}") for k, c in enumerate(origin or ())])
+    return rows.repartition(*names).sortWithinPartitions(*names, F.asc_nulls_last("_order")).drop("_order").mapInArrow(run, f"{kept}, point_count int, payload binary")
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
 
 
 @pandas_udf(BooleanType())

@@ -11,12 +11,14 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
 MAGIC = 0x4C564350
 HEAD_BYTES = 16
+BLOCK = 8 << 20
 RECORDS = "path string, log_offset long, end_offset long, header string, payload binary, truncated_bytes long"
 HEADER = "struct<session_id:string,sequence:bigint,pose_sequence:bigint,timestamp:string,point_count:int,point_format:string,pose:struct<translation_m:array<double>,rotation_xyzw:array<double>>>"
 
@@ -45,24 +47,31 @@ def scan_log(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
 
 
 def split_frames(files: DataFrame, start: int = 0) -> DataFrame:
-    """files: (path, content)."""
+    """files: (path, content). Records of many short files go on together, 1,024 or BLOCK bytes of payload at a time."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in RECORDS.split(", ")]
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for part in parts:
-            for path, data in zip(part["path"], part["content"], strict=True):
-                end, rows = min(start, len(data)), []
+            for path, content in zip(part.column(0), part.column(1), strict=True):
+                path, data = path.as_py(), content.as_py()
+                end = min(start, len(data))
                 for at, end, head, body in records(data, start):  # noqa: B007
                     rows.append((path, at, end, head, body, None))
-                    if len(rows) == 64:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
+                    size += len(body)
+                    if len(rows) == 1024 or size >= BLOCK:
+                        yield _batch(rows)
+                        rows, size = [], 0
                 if end < len(data):
                     rows.append((path, end, end, None, None, len(data) - end))
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+        if rows:
+            yield _batch(rows)
 
-    return files.select("path", "content").mapInPandas(run, RECORDS)
+    return files.select("path", "content").mapInArrow(run, RECORDS)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in RECORDS.split(", ")])
 
 
 def bronze(found: DataFrame) -> DataFrame:
