@@ -293,6 +293,26 @@ def test_keyframes_and_candidates(spark):
     assert fixed.count() == 11 and tails.first().tail.tx == 1.0
 
 
+def test_keyframes_of_long_sessions_are_streamed(spark):
+    """The choice by its definition, with steps of just the limit, through a plan that gathers no session."""
+    r = random.Random(4)
+    turns = [(0.0, 0.0, 0.0, 1.0), (0.0, 0.0, 0.6, 0.8), (0.0, 0.28, 0.0, 0.96), (0.5, 0.5, 0.5, 0.5), (0.0, 0.0, 0.05, 0.99)]
+    rows = [(s, k, r.choice([0, 1, 2, 2]), *(r.randrange(9 if s == "a" else 3) / 4 + r.choice([0, 0, 1e-13]) for _ in range(3)), *r.choice(turns)) for s in "ab" for k in range(12_000 if s == "b" else 3000)]
+    rows += [("c", 0, 1, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), ("c", 1, 1, float("nan"), 0.0, 0.0, *turns[0]), ("c", 2, 1, 0.0, 0.0, 0.0, *turns[0])]
+    want, last = [], {}
+    for at, (s, k, n, *v) in enumerate(rows):
+        if n:
+            m = alignment.matrix(np.array(v[:3]), np.array(v[3:]))
+            step = np.linalg.inv(last[s][1]) @ m if s in last else None
+            if step is None or not (np.linalg.norm(step[:3, 3]) < 0.5 and alignment.angle_deg(step) < 10.0):
+                last[s] = last[s][0] + 1 if s in last else 0, m
+                want.append((s, last[s][0], k, k))
+    df = spark.createDataFrame(rows, "session_id string, sequence bigint, point_count bigint, " + ", ".join(f"{p} double" for p in alignment.POSES))
+    kfs = alignment.keyframes(df.repartition(5).select("session_id", "sequence", "point_count", F.struct(*alignment.POSES).alias("pose")))
+    assert "FlatMapGroups" not in kfs._jdf.queryExecution().toString()
+    assert sorted((r.session_id, r.kf, r.batch_index, r.sequence) for r in kfs.collect()) == want
+
+
 def test_storage_round_trip(spark, tmp_path):
     p = fusion.placed(points(spark, [(1, k, 3.0 * k, 0, 0) for k in range(5)]), 2.0, 0.5)
     path = str(tmp_path / "gold")

@@ -1,6 +1,6 @@
 """Loop closure: keyframes, candidate pairs, registration, pose-graph optimisation, and corrections for every batch.
 
-Keyframe choice compares with the last chosen one, so it runs in order within a session; registration runs per
+Keyframe choice compares with the last chosen one, so it runs in order within a session, as a stream; registration runs per
 candidate pair, in parallel. The graph of one session has hundreds to thousands of nodes and is solved by numpy in one task.
 """
 
@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -68,22 +69,53 @@ def _matrices(part: pd.DataFrame, prefix: str = "") -> list[np.ndarray]:
     return [matrix(r[:3], r[3:]) for r in v]
 
 
-def _picked(part: pd.DataFrame, last: np.ndarray | None, number: int, index: int, cfg: Config) -> pd.DataFrame:
-    """Keyframes among the batches of one session, given the last one, its successor's number and how many batches came before."""
-    part = part.sort_values("sequence").reset_index(drop=True)
-    rows = []
-    flat, seq, counts = part[POSES].to_numpy(float), part["sequence"].to_numpy(), part["point_count"].to_numpy()
-    for k, (v, n) in enumerate(zip(flat, counts, strict=True)):
-        if not n:
-            continue
-        m = matrix(v[:3], v[3:])
-        if last is not None:
-            step = np.linalg.inv(last) @ m
-            if np.linalg.norm(step[:3, 3]) < cfg.keyframe_m and angle_deg(step) < cfg.keyframe_deg:
+class Chooser:
+    """Picks keyframes among the batches of one session, which come in order.
+
+    Plain numbers decide: the turn follows from the dot product of two quaternions. Where these come near a limit, or aren't finite, the
+    matrices of `_stays` do, so that rounding doesn't show.
+    """
+
+    def __init__(self, cfg: Config, last: list[float] | None = None):
+        self.cfg, self.last = cfg, last
+        self.least2 = cfg.keyframe_m**2 if cfg.keyframe_m > 0 else -1.0
+        self.turn = 2.0 if cfg.keyframe_deg <= 0 else -2.0 if cfg.keyframe_deg > 180 else float(np.cos(np.radians(cfg.keyframe_deg)))
+
+    def _stays(self, pose: list[float]) -> bool:
+        a, b = np.array(self.last), np.array(pose)
+        step = np.linalg.inv(matrix(a[:3], a[3:])) @ matrix(b[:3], b[3:])
+        return bool(np.linalg.norm(step[:3, 3]) < self.cfg.keyframe_m and angle_deg(step) < self.cfg.keyframe_deg)
+
+    def pick(self, poses: list[list[float]], counts: list) -> list[int]:
+        """Places of the keyframes among these batches; counts: their numbers of points."""
+        out, least2, turn = [], self.least2, self.turn
+        scale = 1e-11 * (1 + abs(least2))
+        last = self.last
+        for k, pose in enumerate(poses):
+            if counts[k] == 0:
                 continue
-        rows.append((part["session_id"].iloc[0], number + len(rows), index + k, seq[k], *v))
-        last = m
-    return pd.DataFrame(rows, columns=["session_id", "kf", "batch_index", "sequence", *POSES])
+            if last is not None:
+                x, y, z, a, b, c, d = pose
+                lx, ly, lz, la, lb, lc, ld = last
+                d2 = (x - lx) * (x - lx) + (y - ly) * (y - ly) + (z - lz) * (z - lz) - least2
+                near = scale * (1 + abs(x) + abs(y) + abs(z) + abs(lx) + abs(ly) + abs(lz))
+                if not d2 > near:
+                    dot, norm = a * la + b * lb + c * lc + d * ld, (a * a + b * b + c * c + d * d) * (la * la + lb * lb + lc * lc + ld * ld)
+                    cosine = (2 * dot * dot / norm - 1 if norm > 0 else np.nan) - turn
+                    if not cosine < -1e-9:
+                        if d2 < -near and cosine > 1e-9 or self._stays(pose):
+                            continue
+            out.append(k)
+            last = self.last = pose
+        return out
+
+
+def _picked(part: pd.DataFrame, last: list[float] | None, number: int, cfg: Config) -> pd.DataFrame:
+    """Keyframes among the batches of one session, given the last one and its successor's number."""
+    part = part.sort_values("sequence").reset_index(drop=True)
+    at = Chooser(cfg, last).pick(part[POSES].to_numpy(float).tolist(), part["point_count"].tolist())
+    out = part.iloc[at].assign(kf=np.arange(number, number + len(at)), batch_index=at)
+    return out[["session_id", "kf", "batch_index", "sequence", *POSES]]
 
 
 KEYFRAMES = f"session_id string, kf int, batch_index int, sequence bigint, {_FLAT}"
@@ -96,9 +128,31 @@ def _flat_poses(batches: DataFrame) -> DataFrame:
 def keyframes(batches: DataFrame, cfg: Config = Config()) -> DataFrame:
     """(session_id, kf, batch_index, sequence, pose columns): the first batch with points, then each that moved enough since the last chosen.
 
-    batches: session_id, sequence, pose_sequence, point_count, pose.
+    batches: session_id, sequence, pose_sequence, point_count, pose. Each choice hangs on the one before, so a session is walked by one
+    task, but as a sorted stream: no task holds a session.
     """
-    return _flat_poses(batches).groupBy("session_id").applyInPandas(lambda part: _picked(part, None, 0, 0, cfg), KEYFRAMES)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, chooser, number, index = None, None, 0, 0
+        for part in parts:
+            sessions = part.column("session_id").to_pylist()
+            poses = np.stack([part.column(p).to_numpy(zero_copy_only=False).astype(float) for p in POSES], axis=1).tolist()
+            counts = part.column("point_count").to_pylist()
+            at, kfs, indexes, start = [], [], [], 0
+            while start < len(sessions):
+                if chooser is None or sessions[start] != session:
+                    session, chooser, number, index = sessions[start], Chooser(cfg), 0, 0
+                end = len(sessions) if sessions[-1] == session else next(k for k in range(start, len(sessions)) if sessions[k] != session)
+                got = chooser.pick(poses[start:end], counts[start:end])
+                at += [start + k for k in got]
+                kfs.append(np.arange(number, number + len(got), dtype=np.int32))
+                indexes.append(np.array(got, np.int32) + np.int32(index))
+                number, index, start = number + len(got), index + end - start, end
+            if at:
+                own = part.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([own.column("session_id"), pa.array(np.concatenate(kfs)), pa.array(np.concatenate(indexes)), own.column("sequence"), *(own.column(p) for p in POSES)], names=["session_id", "kf", "batch_index", "sequence", *POSES])
+
+    return _flat_poses(batches).repartition("session_id").sortWithinPartitions("session_id", F.asc_nulls_last("sequence")).mapInArrow(run, KEYFRAMES)
 
 
 def more_keyframes(batches: DataFrame, known: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -109,7 +163,7 @@ def more_keyframes(batches: DataFrame, known: DataFrame, cfg: Config = Config())
     def pick(key, part: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
             return pd.DataFrame([], columns=["session_id", "kf", "batch_index", "sequence", *POSES])
-        return _picked(part, _matrices(before)[0] if len(before) else None, int(before["kf"].iloc[0]) + 1 if len(before) else 0, 0, cfg)
+        return _picked(part, before[POSES].to_numpy(float)[0].tolist() if len(before) else None, int(before["kf"].iloc[0]) + 1 if len(before) else 0, cfg)
 
     return _flat_poses(batches).groupBy("session_id").cogroup(last.groupBy("session_id")).applyInPandas(pick, KEYFRAMES)
 
