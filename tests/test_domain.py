@@ -89,6 +89,31 @@ def test_observation_counters(spark):
     assert flier.n / max(1, flier.opportunities - flier.o0 + 1) == 1 / 8
 
 
+def test_counters_of_views_come_without_a_row_for_each(spark, monkeypatch):
+    """The running counter at births and the changes of counters equal those read off the rows; spans of sequences too."""
+    r = random.Random(6)
+    rows = [(k, i, *(r.choice([0, 1, 2, 3, 7, 30]) + 0.01 + 0.05 * r.randrange(3) for _ in range(3))) for k in range(1, 60) for i in range(2)]
+    far = F.when(F.col("sequence") % 4 == 0, 2.0).otherwise(0.0)
+    p = fusion.placed(points(spark, rows).withColumn("pose", geo.pose_of((far, 0.0, 0.0), (0.0, 0.0, 0.0, 1.0))), 1.0, 0.04)
+    b, t, voxels = p.select("session_id", "sequence", "pose").distinct(), fusion.touched(p), fusion.fuse(p)
+    key = lambda df: sorted(tuple(x) for x in df.collect())
+    whole = observation.qualifying(b, t, 1.0)
+    want = key(observation.with_opportunities(voxels, whole).select(*fusion.VOXEL, "o0", "opportunities"))
+    old, new = F.expr("sequence % 3 <> 0"), F.expr("sequence % 2 = 0")
+    changed = {}
+    for x in whole.collect():
+        c = changed.setdefault(tuple(x[c] for c in fusion.CHUNK), [0, 0, 0])
+        c[0] += x.sequence % 3 != 0
+        c[1] += x.sequence % 3 != 0 and x.sequence % 2 != 0
+        c[2] += x.sequence % 3 == 0 and x.sequence % 2 == 0
+    for span in (1 << 16, 8):
+        monkeypatch.setattr(observation, "SPAN", span)
+        assert key(observation.with_counters(voxels, b, t, 1.0).select(*fusion.VOXEL, "o0", "opportunities")) == want
+        counts = observation.counted(b, t, 1.0, where={"before": old, "after": new})
+        got = corrections.counter_changes(counts.withColumn("opportunities", F.col("before")))
+        assert key(got.select(*fusion.CHUNK, "opportunities")) == sorted((*c, max(n - lost + won, 0)) for c, (n, lost, won) in changed.items())
+
+
 def test_frustum_and_levels(spark):
     c = Camera((0.0, 0.0, 0.0), (1.0, 0.0, 0.0), fov_y=math.pi / 2, viewport=(100.0, 100.0), near=0.1, far=50.0)
     for p, inside in (((5, 0, 0), True), ((5, 4, 0), True), ((5, 6, 0), False), ((-5, 0, 0), False), ((60, 0, 0), False)):

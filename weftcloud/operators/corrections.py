@@ -127,13 +127,10 @@ def install(spark: SparkSession, document: str, session_id: str) -> tuple[DataFr
     return poses, doc.where("tail is not null").select("session_id", _pose(F.col("tail")).alias("tail"))
 
 
-def counter_changes(before: DataFrame, after: DataFrame, untouched: DataFrame) -> DataFrame:
-    """Of chunks that aren't rebuilt: views lost and won by moved batches, as a change of their counter (never below 0).
+def counter_changes(counters: DataFrame) -> DataFrame:
+    """Of chunks that aren't rebuilt: their counter with views lost and won by moved batches (never below 0).
 
-    before, after: qualifying (chunk, sequence) under the old and new pose.
+    counters: chunk, opportunities, and before, after: how many batches qualify under the old and the new pose. Batches that qualify under
+    both cancel, so the views won less those lost are the difference of the two numbers.
     """
-    keys = [*CHUNK, "sequence"]
-    lost = before.select(*keys).join(after.select(*keys), keys, "left_anti").withColumn("change", F.lit(-1))
-    won = after.select(*keys).join(before.select(*keys), keys, "left_anti").withColumn("change", F.lit(1))
-    sums = lost.union(won).groupBy(*CHUNK).agg(F.sum("change").alias("change"))
-    return untouched.join(sums, CHUNK, "left").withColumn("opportunities", F.greatest(F.col("opportunities") + F.coalesce("change", F.lit(0)), F.lit(0))).drop("change")
+    return counters.withColumn("opportunities", F.greatest(F.col("opportunities") + F.col("after") - F.col("before"), F.lit(0))).drop("before", "after")
