@@ -338,6 +338,25 @@ def test_keyframes_of_long_sessions_are_streamed(spark):
     assert sorted((r.session_id, r.kf, r.batch_index, r.sequence) for r in kfs.collect()) == want
 
 
+def test_loop_candidates_in_dense_places(spark, monkeypatch):
+    """The nearest by their definition where many keyframes stand within the radius, on the same spots too; no row for a pair."""
+    r = np.random.default_rng(5)
+    xyz = np.concatenate([r.normal(0, 0.3, (900, 3)), np.round(r.normal(0, 0.3, (600, 3)), 1), r.normal(0, 40, (100, 3)), np.tile([[1.0, 1.0, -1.0]], (200, 1))])
+    xyz = xyz[r.permutation(len(xyz))]
+    df = spark.createDataFrame([("s", k, *map(float, v)) for k, v in enumerate(xyz)] + [("s", 9999, float("nan"), 0.0, 0.0)], "session_id string, kf int, tx double, ty double, tz double")
+    want = set()
+    for k in range(20, len(xyz)):
+        d = xyz[k] - xyz[: k - 19]
+        d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+        want |= {(k, int(t), i + 1) for i, t in enumerate(np.lexsort((np.arange(len(d2)), d2))[:2]) if d2[t] <= 0.25}
+    for pairs in (1 << 21, 1000):
+        monkeypatch.setattr(alignment, "PAIRS", pairs)
+        found = alignment.loop_candidates(df, alignment.Config(radius_m=0.5))
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = found.collect()
+        assert {(x.source, x.target, x.rank) for x in got} == want and len(got) == len(want)
+
+
 def test_storage_round_trip(spark, tmp_path):
     p = fusion.placed(points(spark, [(1, k, 3.0 * k, 0, 0) for k in range(5)]), 2.0, 0.5)
     path = str(tmp_path / "gold")

@@ -144,7 +144,7 @@ def decode_batches(batches: DataFrame, keep: tuple[str, ...] = ("session_id", "s
     return batches.select(*keep, "point_format", "payload").mapInArrow(run, f"{kept}, {POINTS}")
 
 
-def _starts(keys: list[pa.Array]) -> np.ndarray:
+def group_starts(keys: list[pa.Array]) -> np.ndarray:
     """Where the rows of sorted keys start a new group; nulls are equal."""
     new = np.zeros(max(len(keys[0]) - 1, 0), bool)
     for k in keys:
@@ -178,11 +178,11 @@ def packed(points: DataFrame, keys: tuple[str, ...], kind: str, order: str = "id
         for part in parts:
             if not part.num_rows:
                 continue
-            if held and len(_starts([pa.concat_arrays([held[0].column(k).slice(0, 1), part.column(k).slice(part.num_rows - 1)]) for k in names])) == 1:
+            if held and len(group_starts([pa.concat_arrays([held[0].column(k).slice(0, 1), part.column(k).slice(part.num_rows - 1)]) for k in names])) == 1:
                 held.append(part)
                 continue
             whole = _joined([*held, part])
-            starts = _starts([whole.column(k) for k in names])
+            starts = group_starts([whole.column(k) for k in names])
             if len(starts) > 1:
                 yield pack_rows(whole, starts[:-1], int(starts[-1]))
             held = [whole.slice(int(starts[-1]))]

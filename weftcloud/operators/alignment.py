@@ -14,6 +14,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.formats import group_starts
+
 
 @dataclass(frozen=True)
 class Config:
@@ -168,22 +170,125 @@ def more_keyframes(batches: DataFrame, known: DataFrame, cfg: Config = Config())
     return _flat_poses(batches).groupBy("session_id").cogroup(last.groupBy("session_id")).applyInPandas(pick, KEYFRAMES)
 
 
+FINEST = 6  # halvings of the radius
+PAIRS = 1 << 21  # distances held at a time
+NEAR = "session_id string, source int, target int, d2 double, rank int"
+
+
+def _ranked(s: np.ndarray, t: np.ndarray, xyz: np.ndarray, kf: np.ndarray, cfg: Config) -> tuple[np.ndarray, ...]:
+    d = xyz[s] - xyz[t]
+    d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+    near = d2 <= cfg.radius_m * cfg.radius_m
+    s, t, d2 = s[near], t[near], d2[near]
+    by = np.lexsort((kf[t], d2, s))
+    s, t, d2 = s[by], t[by], d2[by]
+    rank = np.arange(len(s)) - np.searchsorted(s, s)
+    best = rank < cfg.candidates
+    return s[best], t[best], d2[best], rank[best] + 1
+
+
+def nearest_before(group: np.ndarray, cube: np.ndarray, xyz: np.ndarray, kf: np.ndarray, source: np.ndarray, cfg: Config) -> tuple[np.ndarray, ...]:
+    """(row, row of its target, squared distance, rank): the nearest targets in the group of each source, min_gap before it and within the radius.
+
+    cube: a group's cube, which has its sources; its targets are there and in the 26 cubes around. Cells start as fine as the group is
+    dense, and double until a source has its number of targets within a cell's width. Targets of a cell are in order of kf, so those
+    that come too late for a source are not looked at; PAIRS are, or those of one source.
+    """
+    order = np.flatnonzero(~source)
+    order = order[np.argsort(kf[order], kind="stable")]
+    active = np.flatnonzero(source)
+    early = np.searchsorted(kf[order], kf[active] - cfg.min_gap, "right")  # so many targets come early enough
+    rank_bits, group_bits = int(len(order) + 1).bit_length(), int(group.max(initial=0) + 1).bit_length()
+    finest = max(0, min(FINEST, (62 - rank_bits - group_bits) // 3 - 3))
+    dense = np.bincount(group[order], minlength=int(group.max(initial=0)) + 1)
+    start = np.clip(np.floor(np.log2(np.maximum(dense / 32, 1)) / 3), 0, finest).astype(np.int64)[group]
+    steps = [(x, y, z) for x in (0, 1, 2) for y in (0, 1, 2) for z in (0, 1, 2)]
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+    for level in range(finest, -1, -1):
+        mine = np.flatnonzero(start[active] >= level)
+        if not len(mine):
+            continue
+        cell = np.floor(xyz / cfg.radius_m * 2.0**level).astype(np.int64) - ((cube - 1) << level)
+
+        def keys(rows: np.ndarray, step: tuple[int, int, int], cell: np.ndarray = cell, bits: int = level + 3) -> np.ndarray:
+            c = cell[rows]
+            return (((group[rows] << bits | c[:, 0] + step[0]) << bits | c[:, 1] + step[1]) << bits | c[:, 2] + step[2]) << rank_bits
+
+        own = keys(order, (1, 1, 1)) | np.arange(len(order))
+        by = np.argsort(own)
+        own = own[by]
+        left = np.ones(len(mine), bool)
+        for a in range(0, len(mine), 1 << 15):
+            rows, most = active[mine[a : a + (1 << 15)]], early[mine[a : a + (1 << 15)]]
+            base = np.stack([keys(rows, step) for step in steps], axis=1)
+            lo = np.searchsorted(own, base)
+            n = np.maximum(np.searchsorted(own, base + most[:, None]) - lo, 0)
+            ends = np.cumsum(n.sum(axis=1))
+            x = 0
+            while x < len(rows):
+                y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + PAIRS, "right")))
+                size = n[x:y].ravel()
+                at = np.repeat(lo[x:y].ravel() - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                found = _ranked(np.repeat(rows[x:y], n[x:y].sum(axis=1)), order[by[at]], xyz, kf, cfg)
+                if level:
+                    inside = found[2] <= (cfg.radius_m * 0.5**level) ** 2 * (1 - 1e-9)
+                    done = np.bincount(found[0][inside], minlength=len(group)) >= cfg.candidates
+                    found = tuple(v[done[found[0]]] for v in found)
+                    left[a + x : a + y] = ~done[rows[x:y]]
+                else:
+                    left[a + x : a + y] = False
+                out.append(found)
+                x = y
+        keep = np.ones(len(active), bool)
+        keep[mine[~left]] = False
+        active, early = active[keep], early[keep]
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+
 def loop_candidates(kfs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """(session_id, source, target, distance): for each keyframe the nearest ones at least min_gap before it, within the radius.
+    """(session_id, source, target, distance, rank): for each keyframe the nearest ones at least min_gap before it, within the radius.
 
-    Positions are dealt to cubes as wide as the radius, so neighbours meet by an equi-join.
+    Positions are dealt to cubes as wide as the radius; targets go to the cubes around theirs too. A task streams its cubes and searches
+    them in finer cells, so neither rows nor memory grow with the pairs within the radius.
     """
-    r = cfg.radius_m
-    cube = [F.floor(F.col(c) / r).cast("bigint") for c in ("tx", "ty", "tz")]
-    base = kfs.select("session_id", "kf", "tx", "ty", "tz", *[c.alias(n) for c, n in zip(cube, ("gx", "gy", "gz"), strict=True)])
-    around = base.select("session_id", F.col("kf").alias("source"), *[F.col(c).alias(f"s{c}") for c in ("tx", "ty", "tz")], "gx", "gy", "gz")
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    far = F.lit(float("inf"))
+    base = kfs.where(F.col("session_id").isNotNull() & F.col("kf").isNotNull())
+    for c in ("tx", "ty", "tz"):
+        base = base.where(F.abs(c) < far)  # others are within no distance
+    base = base.select("session_id", F.col("kf").cast("long").alias("kf"), *[F.col(c).cast("double").alias(c) for c in ("tx", "ty", "tz")], *[F.floor(F.col(c) / cfg.radius_m).cast("bigint").alias(g) for c, g in zip(("tx", "ty", "tz"), ("gx", "gy", "gz"), strict=True)])
+    around = base.withColumn("source", F.lit(False))
     for g in ("gx", "gy", "gz"):
-        around = around.withColumn("_s", F.explode(near)).withColumn(g, F.col(g) + F.col("_s")).drop("_s")
-    pairs = around.join(base.withColumnRenamed("kf", "target"), ["session_id", "gx", "gy", "gz"]).where(F.col("target") <= F.col("source") - cfg.min_gap)
-    d2 = sum(((F.col(f"s{c}") - F.col(c)) * (F.col(f"s{c}") - F.col(c)) for c in ("ty", "tz")), (F.col("stx") - F.col("tx")) * (F.col("stx") - F.col("tx")))
-    w = Window.partitionBy("session_id", "source").orderBy("d2", "target")
-    return pairs.withColumn("d2", d2).where(F.col("d2") <= r * r).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cfg.candidates).select("session_id", "source", "target", F.sqrt("d2").alias("distance"), "rank")
+        around = around.withColumn("_s", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(g, F.col(g) + F.col("_s")).drop("_s")
+    keys = ["session_id", "gx", "gy", "gz"]
+
+    def search(part: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        get = lambda c: part.column(c).to_numpy(zero_copy_only=False)
+        source = get("source").astype(bool)
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, part.num_rows)))
+        used = np.flatnonzero((np.bincount(group[source], minlength=len(starts)) > 0)[group])
+        kf = get("kf")
+        s, t, d2, rank = nearest_before(group[used], np.stack([get(g)[used] for g in keys[1:]], axis=1), np.stack([get(c)[used] for c in ("tx", "ty", "tz")], axis=1), kf[used], source[used], cfg)
+        s, t = used[s], used[t]
+        return pa.RecordBatch.from_arrays([part.column("session_id").take(pa.array(s)), pa.array(kf[s].astype(np.int32)), pa.array(kf[t].astype(np.int32)), pa.array(d2), pa.array(rank.astype(np.int32))], names=["session_id", "source", "target", "d2", "rank"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, most = [], 0, 1 << 18
+        for part in parts:
+            held, rows = [*held, part], rows + part.num_rows
+            if rows >= most:
+                whole = pa.concat_batches(held)
+                starts = group_starts([whole.column(k) for k in keys])
+                cut = int(starts[-1])
+                if cut:
+                    yield search(whole.slice(0, cut), starts[:-1])
+                held, rows = [whole.slice(cut)], whole.num_rows - cut
+                most = max(1 << 18, 2 * rows)
+        if rows:
+            whole = pa.concat_batches(held)
+            yield search(whole, group_starts([whole.column(k) for k in keys]))
+
+    found = base.withColumn("source", F.lit(True)).unionByName(around).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, NEAR)
+    return found.select("session_id", "source", "target", F.sqrt("d2").alias("distance"), "rank")
 
 
 def odometry_edges(kfs: DataFrame) -> DataFrame:
